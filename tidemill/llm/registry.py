@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidemill.llm import simhash
+from tidemill.llm import lines, simhash, substrings
 
-QUERIES = {"op3_simhash": simhash.op3_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op7_lines": lines.op7_lines,
+    "op8_substrings": substrings.op8_substrings,
+}
+ORACLES = {"op7_lines": lines.OP7_SQL, "op8_substrings": substrings.OP8_SQL}
