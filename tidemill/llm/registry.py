@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.llm import lines, simhash, substrings
+from tidemill.llm import bpe, lines, simhash, substrings
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op7_lines": lines.op7_lines,
     "op8_substrings": substrings.op8_substrings,
