@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, licenses, lines, simhash, substrings
+from tidemill.llm import bpe, licenses, lines, quality, simhash, substrings
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op7_lines": lines.op7_lines,
+    "op10_quality": quality.op10_quality,
     "op8_substrings": substrings.op8_substrings,
 }
 ORACLES = {"op1_licenses": licenses.OP1_SQL, "op7_lines": lines.OP7_SQL, "op8_substrings": substrings.OP8_SQL}
