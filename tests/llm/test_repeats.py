@@ -25,8 +25,8 @@ def brute(texts, unit, length):
     return out
 
 
-@pytest.mark.parametrize("unit,length,seed,piece", [("word", 7, 3, 1 << 20), ("byte", 40, 25, 1 << 20), ("byte", 40, 25, 37), ("word", 7, 3, 5)])
-def test_matches_brute_force(spark, unit, length, seed, piece):
+@pytest.mark.parametrize("unit,length,seed,probe,piece", [("word", 7, 3, 2, 1 << 20), ("byte", 40, 25, 16, 1 << 20), ("byte", 40, 25, 8, 37), ("word", 7, 3, 5, 5)])
+def test_matches_brute_force(spark, unit, length, seed, probe, piece):
     rng = random.Random(5)
     words = ["ab", "c", "déf", "ghij", "k"]
     some = lambda n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
@@ -35,7 +35,7 @@ def test_matches_brute_force(spark, unit, length, seed, piece):
     for _ in range(60):
         texts.append(rng.choice((" ", "\n", "\t ")).join(rng.choice(shared) if rng.random() < 0.4 else some(rng.randrange(1, 25)) for _ in range(rng.randrange(1, 6))))
     rows = [(i, t, i, "x") for i, t in enumerate(texts)]
-    found = {r.doc_id: (r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut_repeats(spark.createDataFrame(rows, COLUMNS).repartition(3), Windows(unit, length, seed, piece)).collect()}
+    found = {r.doc_id: (r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut_repeats(spark.createDataFrame(rows, COLUMNS).repartition(3), Windows(unit, length, seed, probe, piece)).collect()}
     assert [found[i] for i in range(len(texts))] == brute(texts, unit, length)
     assert sum(f[1] for f in found.values()) > 500
 
@@ -43,6 +43,6 @@ def test_matches_brute_force(spark, unit, length, seed, piece):
 def test_repeated_rows_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(20))
     rows = [(1, text, 0, ""), (1, text, 0, ""), (None, "short", 0, ""), (1, "other words here", 0, "")]
-    found = cut_repeats(spark.createDataFrame(rows, COLUMNS), Windows("word", 7, 3)).collect()
+    found = cut_repeats(spark.createDataFrame(rows, COLUMNS), Windows("word", 7, 3, 2)).collect()
     assert sorted((r.n_units, r.n_removed) for r in found) == [(1, 0), (3, 0), (20, 20), (20, 20)]
-    assert cut_repeats(spark.createDataFrame([], COLUMNS), Windows("word", 7, 3)).count() == 0
+    assert cut_repeats(spark.createDataFrame([], COLUMNS), Windows("word", 7, 3, 2)).count() == 0

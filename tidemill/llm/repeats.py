@@ -1,16 +1,17 @@
 """Exact repeated windows of words or bytes over all documents, by winnowed seeds and extension (operators 8 and 4).
 
-A window of `length` units takes the least hash of its `seed`-unit grams as its seed, so equal windows have equal seeds.
+A window of `length` units takes the least hash of its `seed`-unit grams as its seed, and the least of each `probe` grams
+in a row as its probes, so equal windows have equal seeds and probes.
 
-1. seeds   counts every seed; those found once cannot be in a repeated window.
-2. extents runs of windows with one repeated seed are extended to the whole text they span; a span that stands twice
+1. probes  are counted; a window with a probe found once cannot be repeated, the others are likely.
+2. spans   runs of likely windows with one seed are extended to the whole text they span; a span that stands twice
            settles all its windows at once, which is the rule inside long matches.
-3. edges   seeds with a span that stands once are opened: their windows are counted one by one, which finds the exact
-           ends of each match.
-4. cut     every window with a repeated seed is removed, but for those that step 3 found once.
+3. edges   seeds with a span that stands once are opened: their likely windows are counted one by one, which finds the
+           exact ends of each match.
+4. cut     every likely window is removed, but for those that step 3 found once.
 
 No pairs of documents are formed, so a group of n copies costs n rows; all counts combine before they are shuffled.
-Sets of seeds reach the tasks as bit tables of bounded size (32 MB at most); a wrong yes only adds rows to step 2 or 3.
+Sets of probes and seeds reach the tasks as bit tables of bounded size (32 MB at most); a wrong yes only adds rows to step 2 or 3.
 Keys are 64-bit hashes for seeds and 96 or 128 bits for spans and windows, so equal keys are taken for equal text.
 """
 
@@ -43,6 +44,7 @@ class Windows:
     unit: str
     length: int
     seed: int
+    probe: int
     piece: int = 1 << 20
     one: Rolling = field(default_factory=lambda: Rolling(11))
     two: Rolling = field(default_factory=lambda: Rolling(23))
@@ -79,24 +81,35 @@ class Piece:
         else:
             self.grams = plan.one.ranges(self.first, starts[: n - seed + 1], ends[seed - 1 :])
         self.seeds = least(self.grams, plan.length - seed + 1)
+        self.probes = least(self.grams, plan.probe)
 
     def _mix(self, difference, n):
         return mixed(difference * self.plan.one.inverse[:n])
 
     def found(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each seed of the piece, and at how many places its gram stands there."""
-        change = np.flatnonzero(self.seeds[1:] != self.seeds[:-1])
-        values = np.unique(self.seeds[np.concatenate(([0], change + 1))])
+        """Each probe of the piece, and at how many places its gram stands there."""
+        change = np.flatnonzero(self.probes[1:] != self.probes[:-1])
+        values = np.unique(self.probes[np.concatenate(([0], change + 1))])
         marks = np.zeros(1 << 16, bool)
         marks[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
         near = self.grams[marks[(self.grams & np.uint64(0xFFFF)).astype(np.uint16)]]
         slot = np.minimum(np.searchsorted(values, near), len(values) - 1)
         return values, np.bincount(slot[values[slot] == near], minlength=len(values))
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last window of each run of windows with one seed."""
-        change = np.flatnonzero(self.seeds[1:] != self.seeds[:-1])
-        return np.concatenate(([0], change + 1)), np.concatenate((change, [len(self.seeds) - 1]))
+    def likely(self, repeated: Bitmap) -> np.ndarray:
+        """The windows whose every probe is repeated; no other can be."""
+        change = np.flatnonzero(self.probes[1:] != self.probes[:-1]) + 1
+        low, high = np.concatenate(([0], change)), np.concatenate((change, [len(self.probes)]))
+        bad = np.concatenate(([0], np.cumsum(np.repeat(~repeated.has(self.probes[low]), high - low))))
+        return bad[len(bad) - len(self.seeds) :] == bad[: len(self.seeds)]
+
+    def runs(self, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last window of each run of likely windows with one seed."""
+        w = np.flatnonzero(likely)
+        if not len(w):
+            return w, w
+        split = np.flatnonzero((np.diff(w) > 1) | (self.seeds[w[1:]] != self.seeds[w[:-1]]))
+        return w[np.concatenate(([0], split + 1))], w[np.concatenate((split, [len(w) - 1]))]
 
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the text of units start to stop (exclusive)."""
@@ -134,9 +147,7 @@ def _spans(docs: DataFrame, plan: Windows, repeated) -> DataFrame:
             rows = []
             for text in byte_texts(batch.column(0)):
                 for _, piece in plan.pieces(text):
-                    low, high = piece.runs()
-                    hit = known.has(piece.seeds[low])
-                    low, high = low[hit], high[hit]
+                    low, high = piece.runs(piece.likely(known))
                     if len(low):
                         rows.append((*piece.hashes(low, high + plan.length), piece.seeds[low]))
             if rows:
@@ -146,11 +157,6 @@ def _spans(docs: DataFrame, plan: Windows, repeated) -> DataFrame:
     return found.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("seed").alias("seed")).filter("n = 1").select("seed").distinct()
 
 
-def _ok(piece: Piece, repeated: Bitmap) -> np.ndarray:
-    low, high = piece.runs()
-    return np.repeat(repeated.has(piece.seeds[low]), high - low + 1)
-
-
 def _edges(docs: DataFrame, plan: Windows, repeated, opened) -> DataFrame:
     """Windows of opened seeds that stand once: doc_id, mark, ats."""
 
@@ -160,9 +166,8 @@ def _edges(docs: DataFrame, plan: Windows, repeated, opened) -> DataFrame:
             rows, origin = [], []
             for i, text in enumerate(byte_texts(batch.column(2))):
                 for at, piece in plan.pieces(text):
-                    low, high = piece.runs()
-                    hit = known.has(piece.seeds[low]) & open_.has(piece.seeds[low])
-                    w = np.flatnonzero(np.repeat(hit, high - low + 1))
+                    w = np.flatnonzero(piece.likely(known))
+                    w = w[open_.has(piece.seeds[w])]
                     if len(w):
                         one, two = piece.hashes(w, w + plan.length)
                         rows.append((one, (two >> np.uint64(32)).astype(np.uint32), w + at))
@@ -185,7 +190,7 @@ def _cover(text: bytes, plan: Windows, repeated: Bitmap, once: np.ndarray, n: in
     """Which of the n units are covered by a repeated window."""
     turn = np.zeros(n + 1, np.int64)
     for at, piece in plan.pieces(text):
-        ok = _ok(piece, repeated)
+        ok = piece.likely(repeated)
         mine = once[(once >= at) & (once < at + len(ok))] - at
         ok[mine] = False
         edge = np.flatnonzero(np.diff(np.concatenate(([0], ok.view(np.int8), [0]))))

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemill.llm.common import documents
 from tidemill.llm.repeats import Windows, cut_repeats
 
-#: Words of a window, and of the seed grams within it: any repeat of 35 words shares a seed.
-LENGTH, SEED = 35, 11
+#: Words of a window, of the seed grams within it (any repeat of 35 words shares a seed), and grams to a probe.
+LENGTH, SEED, PROBE = 35, 11, 8
 
 
-def cut_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def cut_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, probe: int = PROBE) -> DataFrame:
     """Remove every word covered by a window of `length` words that starts anywhere else too; see cut_repeats."""
-    return cut_repeats(docs, Windows("word", length, seed))
+    return cut_repeats(docs, Windows("word", length, seed, probe))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
