@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, licenses, lines, quality, simhash, substrings, toxicity
+from tidemill.llm import bpe, language, licenses, lines, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language": language.op6_language,
     "op7_lines": lines.op7_lines,
     "op10_quality": quality.op10_quality,
     "op8_substrings": substrings.op8_substrings,
