@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, language, licenses, lines, quality, simhash, substrings, toxicity
+from tidemill.llm import bpe, decontaminate, language, licenses, lines, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language": language.op6_language,
     "op7_lines": lines.op7_lines,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
     "op8_substrings": substrings.op8_substrings,
 }
