@@ -20,7 +20,8 @@ STATS = ("log_length", "word_size", "symbols", "dup_lines", "repeats")
 #: Least spread of each statistic, so that one that is constant in a group has no infinite weight.
 FLOOR = (0.25, 0.1, 0.02, 0.1, 0.2)
 
-BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE = ", ".join(f"{name} bigint" for name in COUNTS)
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -50,16 +51,16 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base counts of every row."""
+def measured(docs: DataFrame, *through: str) -> DataFrame:
+    """The columns `through` and the base counts of every row."""
 
     def run(batches):
         for batch in batches:
-            found = np.array([counts(t) for t in byte_texts(batch.column(3))], np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c) for c in found.T]], ["doc_id", "lang", "source", *[x.split()[0] for x in BASE.split(", ")]])
+            found = np.array([counts(t) for t in byte_texts(batch.column(batch.num_columns - 1))], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c) for c in found.T]], [*through, *COUNTS])
 
-    kept = docs.select("doc_id", "lang", "source", "text")
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:3])
+    kept = docs.select(*through, F.col("text").alias("__text"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{shape}, {BASE}")
 
 
@@ -134,6 +135,28 @@ def estimates(rows: DataFrame) -> DataFrame:
     return written(now.join(edge, "group").select("group", "mean", "inverse", (F.lit(6.6257) / F.greatest("edge", F.lit(6.6257))).alias("scale")), "mcd")
 
 
+def _placed(base: DataFrame) -> DataFrame:
+    """Rows with base_failed, the name of their group and their statistics x."""
+    name = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e")))
+    return base.withColumns({"base_failed": failed(base)}).withColumns({"__name": name, "__x": _vector(base)})
+
+
+def _parameters(placed: DataFrame) -> DataFrame:
+    """__own, mean, inverse, scale: the estimate that the rows of each lang and source are judged by."""
+    fit = placed.filter("not base_failed")
+    sizes = fit.groupBy("__name").agg(F.count("*").alias("rows"))
+    chosen = sizes.select(F.col("__name").alias("__own"), F.when(F.col("rows") >= LEAST_ROWS, F.col("__name")).otherwise("\x1f\x1f").alias("group"))
+    vectors = fit.join(chosen, F.col("__name") == F.col("__own")).select("group", F.col("__x").alias("x"))
+    return chosen.join(estimates(vectors), "group").select("__own", "mean", "inverse", "scale")
+
+
+def _judged(placed: DataFrame, params: DataFrame) -> DataFrame:
+    joined = placed.join(params, placed["__name"] == params["__own"], "left")
+    distance = F.when(~F.col("base_failed"), _distance(F.col("__x"), F.col("mean"), F.col("inverse")) * F.col("scale"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
+    return joined.withColumns({"distance": distance}).withColumns({"kept": kept})
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and distance of every row of `docs` (doc_id, text, lang, source).
 
@@ -142,19 +165,17 @@ def judge(docs: DataFrame) -> DataFrame:
     over CUTOFF is rejected. Null and empty texts have no words and fail. Repeated rows count and come out once each.
     An empty table gives an empty result; other columns are ignored.
     """
-    base = written(measured(docs), "measured")
-    base = base.withColumns({"base_failed": failed(base)})
-    name = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e")))
-    placed = base.withColumns({"name": name, "x": _vector(base)})
-    sizes = placed.filter("not base_failed").groupBy("name").agg(F.count("*").alias("rows"))
-    chosen = sizes.select(F.col("name").alias("own"), F.when(F.col("rows") >= LEAST_ROWS, F.col("name")).otherwise("\x1f\x1f").alias("group"))
-    vectors = placed.filter("not base_failed").select("name", "x").join(chosen, F.col("name") == F.col("own")).select("group", "x")
-    found = estimates(vectors)
-    params = chosen.join(found, "group").select("own", "mean", "inverse", "scale")
-    joined = placed.join(params, placed["name"] == params["own"], "left")
-    distance = F.when(~F.col("base_failed"), _distance(F.col("x"), F.col("mean"), F.col("inverse")) * F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return joined.withColumns({"distance": distance}).withColumns({"kept": kept}).select("doc_id", *[x.split()[0] for x in BASE.split(", ")], "base_failed", "kept", "distance")
+    placed = _placed(written(measured(docs, "doc_id", "lang", "source"), "measured"))
+    return _judged(placed, _parameters(placed)).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that judge() keeps, with their columns as they were. Texts are read twice rather than shuffled."""
+    params = _parameters(_placed(written(measured(docs, "lang", "source"), "measured")))
+    names = {f"__c{i}": name for i, name in enumerate(docs.columns)}
+    coded = docs.select(*[F.col(c).alias(n) for n, c in names.items()], "lang", "source", "text")
+    again = _placed(measured(coded, *names, "lang", "source"))
+    return _judged(again, params).filter("kept").select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
