@@ -21,7 +21,7 @@ RANK, SPARE, TERMS = 256, 8, 1 << 14
 COMMON = 0.3
 #: Least cosine of a candidate, and least share of a benchmark passage's words in its longest common subsequence.
 COSINE, LCS = 0.45, 0.6
-#: Benchmark passages under SHORT words must be met whole. Of the rarest words, the ANSWER, at least half must be there.
+#: Benchmark passages under SHORT words must be met whole. Of its ANSWER rarest words, which stand for its answer, one must be there.
 SHORT, ANSWER = 10, 4
 #: Benchmark passages that a scan of the documents is held against at once.
 BLOCK = 50_000
@@ -209,7 +209,7 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
                         words = rows[row][max(0, start - CONTEXT) : start + PASSAGE + CONTEXT]
                         share = common_subsequence(masks, size, words) / size
                         held = set(words)
-                        if share >= (LCS if size >= SHORT else 1.0) and 2 * sum(x in held for x in rare) >= len(rare):
+                        if share >= (LCS if size >= SHORT else 1.0) and any(x in held for x in rare):
                             found[row][item] = max(share, found[row].get(item, 0.0))
                 n_passages += np.diff(first).tolist()
                 hits += [sorted(f) for f in found]
@@ -260,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The latent space is that of the benchmark's passages, under frequencies over all passages of the documents; every
     passage of every document is folded into it and held against every benchmark passage by cosine. A candidate counts if
     the longest common subsequence with the passage and its context has LCS of the benchmark passage's words, in order,
-    and half of its rarest words (the answer) are there. Null and empty texts have one empty passage and no items. Repeated
+    and one of its rarest words (the answer) is there. Null and empty texts have one empty passage and no items. Repeated
     rows come out once each. Items with a null id or text or without words are left out; repeated items count once.
     """
     rows, terms, basis = prepared(docs, benchmark)
