@@ -37,7 +37,7 @@ def last_date(text: Column) -> Column:
     """The last date of a text as a DATE; null without one, and for one that no calendar has."""
     found = F.element_at(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), -1)
     part = lambda i: F.lpad(F.regexp_extract(found, DATE, i), 4 if i == 1 else 2, "0")
-    return F.when(F.size(F.regexp_extract_all(text, F.lit(DATE), F.lit(0))) > 0, F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")))
+    return F.when(F.size(F.regexp_extract_all(text, F.lit(DATE), F.lit(0))) > 0, F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-MM-dd"))
 
 
 def attachment_name(label: Column, url: Column) -> Column:

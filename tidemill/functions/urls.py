@@ -45,7 +45,7 @@ def redirects(html: Column) -> Column:
     """Targets of script and meta redirects outside comments: https first, then http, then relative, else as they stand."""
     plain = F.regexp_replace(html, COMMENT, "")
     found = F.concat(F.regexp_extract_all(plain, F.lit(SCRIPT_TARGET), F.lit(1)), F.regexp_extract_all(plain, F.lit(META_TARGET), F.lit(1)))
-    useful = F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: (t != "") & ~t.rlike("^(javascript:|#|mailto:|tel:)")))
+    useful = F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: (t != "") & ~t.rlike("^(javascript:|#|mailto:|tel:)")))
     kind = lambda t: F.when(t.startswith("https://"), 0).when(t.startswith("http://"), 1).otherwise(2)
     ranked = F.transform(useful, lambda t, i: F.struct(kind(t).alias("kind"), i.alias("i"), t.alias("t")))
     return F.transform(F.array_sort(ranked), lambda s: s["t"])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.plans import accounting, curation, grids
+from tidemill.plans import accounting, curation, grids, rules, text
 
-MODULES = (accounting, curation, grids)
+MODULES = (accounting, curation, grids, rules, text)
 QUERIES = {name: query for module in MODULES for name, (query, _) in module.PLANS.items()}
 ORACLES = {name: sql for module in MODULES for name, (_, sql) in module.PLANS.items() if sql}
