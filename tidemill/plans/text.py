@@ -25,7 +25,7 @@ def risk_flag(spark, sf_dir):
 
 def date_extract(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("접수 2019-1-2 ~ "), F.date_format("o_orderdate", "yyyy.M.d"), F.lit(" 마감")).alias("t"))
-    return docs.select("o_orderkey", text.last_date(F.regexp_replace("t", "199", "20")).cast("string").alias("day"))
+    return docs.select("o_orderkey", text.last_date(F.regexp_replace("t", "199", "201")).cast("string").alias("day"))
 
 
 def attachment_names(spark, sf_dir):
@@ -74,7 +74,7 @@ PLANS = {
     "pii_flag": (pii_flag, f"SELECT doc_id, coalesce(regexp_matches(text, '{NUMBERS}') OR regexp_matches(text, '{MAIL}'), false) AS privacy_flag FROM documents"),
     "pii_mask": (pii_mask, f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{MAIL}', '{text.PII_MARK}', 'g'), '{NUMBERS}', '\\1{text.PII_MARK}\\2', 'g')) AS masked FROM documents"),
     "risk_flag": (risk_flag, f"SELECT doc_id, regexp_matches(text, '{text.RISK}') AS risk FROM documents"),
-    "date_extract": (date_extract, "SELECT o_orderkey, replace(strftime(o_orderdate, '%Y-%m-%d'), '199', '20') AS day FROM orders"),
+    "date_extract": (date_extract, "SELECT o_orderkey, replace(strftime(o_orderdate, '%Y-%m-%d'), '199', '201') AS day FROM orders"),
     "attachment_names": (attachment_names, """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '.PDF' WHEN p_partkey % 2 = 0 THEN p_partkey || '.hwpx'
   WHEN p_partkey % 3 = 1 THEN CAST(p_partkey AS VARCHAR) ELSE '안내' END AS name FROM part"""),
     "canonical_url": (canonical_url, r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS s, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS h,
