@@ -28,7 +28,7 @@ def plain(rows):
 def test_query_equals_sql(spark, db, name):
     found = catalogue.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
-    want = db.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    want = db.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
     assert plain(found.select(*columns).collect()) == plain(want)
 
 
