@@ -10,8 +10,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemill.sources import compound, office
 from tidemill.sources import html as web
-from tidemill.sources import office
 
 #: Extensions and the kind each must hold (fixed values).
 KINDS = {
@@ -65,7 +65,7 @@ def upload_error(filename: Column, size: Column, kind: Column) -> Column:
 def extract(files: DataFrame) -> DataFrame:
     """The rows of `files` (content, filename and more) with kind, status, error, paragraphs and tables.
 
-    html, hwpx and docx are read; pdf, hwp and legacy files need a parser that is not here, images need vision. A file that
+    html, hwp, hwpx and docx are read; pdf and legacy files need a parser that is not here, images need vision. A file that
     cannot be read has status parse_error and why; no file stops the others.
     """
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name not in ("content",)]
@@ -81,6 +81,8 @@ def extract(files: DataFrame) -> DataFrame:
                 return kind, office.section_package(data)
             if kind == "docx":
                 return kind, office.document_package(data)
+            if kind == "hwp":
+                return kind, compound.document(data)
         except Exception as error:  # a broken file is a result, not a failure of the job
             return kind, {"status": "parse_error", "error": str(error)[:300], "paragraphs": [], "tables": []}
         return kind, {"status": "needs_vision" if kind == "image" else "needs_parser", "error": None, "paragraphs": [], "tables": []}
