@@ -13,6 +13,8 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Share of a group's rows that an estimate keeps, steps to concentrate it, and rows that a group must have of its own.
 CORE, STEPS, LEAST_ROWS = 0.75, 4, 200
+#: Up to so many groups, a row of some 400 bytes each, go to every task; more are joined by their keys.
+BROADCAST = 20_000
 #: Squared distance beyond which a row is rejected. With five near-normal statistics 99.9 % of clean rows stay below 20.5;
 #: texts are far longer-tailed than that, so the bound is set wide, at what no smooth distribution of text reaches.
 CUTOFF = 100.0
@@ -110,7 +112,11 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return found.select("group", mean.alias("mean"), _inverse("m").alias("inverse"))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def _sent(params: DataFrame, groups: int) -> DataFrame:
+    return F.broadcast(params) if groups <= BROADCAST else params
+
+
+def estimates(rows: DataFrame, groups: int) -> DataFrame:
     """Minimum-covariance-determinant estimates of each group of rows (group, x): group, mean, inverse, scale.
 
     Starts from medians and median deviations, then repeats concentration steps: distances under the estimate, the CORE
@@ -119,7 +125,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """
     d = len(STATS)
     middle = rows.groupBy("group").agg(*[F.percentile_approx(F.get("x", i), 0.5, 1000).alias(f"m{i}") for i in range(d)])
-    spread = rows.join(middle, "group").groupBy("group").agg(
+    spread = rows.join(_sent(middle, groups), "group").groupBy("group").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(d)],
         *[(1.4826 * F.percentile_approx(F.abs(F.get("x", i) - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i in range(d)],
     )
@@ -127,10 +133,10 @@ def estimates(rows: DataFrame) -> DataFrame:
     inverse = F.array(*[weight[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
     now = written(spread.select("group", F.array(*[F.col(f"m{i}") for i in range(d)]).alias("mean"), inverse.alias("inverse")), "mcd")
     for _ in range(STEPS):
-        far = rows.join(now, "group").select("group", "x", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
+        far = rows.join(_sent(now, groups), "group").select("group", "x", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
         edge = far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge"))
-        now = written(_estimate(far.join(edge, "group").filter("far <= edge")), "mcd")
-    far = rows.join(now, "group").select("group", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
+        now = written(_estimate(far.join(_sent(edge, groups), "group").filter("far <= edge")), "mcd")
+    far = rows.join(_sent(now, groups), "group").select("group", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
     edge = far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge"))
     return written(now.join(edge, "group").select("group", "mean", "inverse", (F.lit(6.6257) / F.greatest("edge", F.lit(6.6257))).alias("scale")), "mcd")
 
@@ -146,8 +152,10 @@ def _parameters(placed: DataFrame) -> DataFrame:
     fit = placed.filter("not base_failed")
     sizes = fit.groupBy("__name").agg(F.count("*").alias("rows"))
     chosen = sizes.select(F.col("__name").alias("__own"), F.when(F.col("rows") >= LEAST_ROWS, F.col("__name")).otherwise("\x1f\x1f").alias("group"))
-    vectors = fit.join(chosen, F.col("__name") == F.col("__own")).select("group", F.col("__x").alias("x"))
-    return chosen.join(estimates(vectors), "group").select("__own", "mean", "inverse", "scale")
+    chosen = written(chosen, "groups")
+    groups = chosen.count()
+    vectors = fit.join(_sent(chosen, groups), F.col("__name") == F.col("__own")).select("group", F.col("__x").alias("x"))
+    return _sent(chosen.join(_sent(estimates(vectors, groups), groups), "group").select("__own", "mean", "inverse", "scale"), groups)
 
 
 def _judged(placed: DataFrame, params: DataFrame) -> DataFrame:
