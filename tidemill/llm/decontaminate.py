@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemill.llm.common import documents
@@ -17,8 +17,8 @@ from tidemill.llm.common import documents
 PASSAGE, STRIDE, CONTEXT = 64, 32, 32
 #: Latent dimensions, and spare ones that the randomised range finder draws; dimensions that terms are folded into beyond.
 RANK, SPARE, TERMS = 256, 8, 1 << 14
-#: Terms in over this share of passages are left out; so is what little they say.
-COMMON = 0.3
+#: Terms in over this share of passages (and over FEW of them) are left out: they say little and stand everywhere.
+COMMON, FEW = 0.02, 10
 #: Least cosine of a candidate, and least share of a benchmark passage's words in its longest common subsequence.
 COSINE, LCS = 0.45, 0.6
 #: Benchmark passages under SHORT words must be met whole. Of its ANSWER rarest words, which stand for its answer, one must be there.
@@ -26,11 +26,13 @@ SHORT, ANSWER = 10, 4
 #: Benchmark passages that a scan of the documents is held against at once.
 BLOCK = 50_000
 
-_WORD = regex.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes that stand in words; all others become blanks.
+_KEPT = bytes(b if chr(b).isalnum() or b >= 0x80 else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").lower().encode())
+    """Runs of digits, letters a-z and characters beyond ASCII, in lower case."""
+    return (text or "").lower().encode().translate(_KEPT).split()
 
 
 def cut(words: list) -> list[list]:
@@ -59,8 +61,7 @@ class Terms:
     idf: np.ndarray
 
     def dims(self, words: list[bytes]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
 
 
 def passages(counts: list[np.ndarray]):
@@ -188,7 +189,7 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
             masks: dict = {}
             for i, word in enumerate(words):
                 masks[word] = masks.get(word, 0) | 1 << i
-            rare = sorted(set(words), key=lambda x: (-terms.idf[terms.place[x]], x))[:ANSWER]
+            rare = sorted(set(words), key=lambda x: (-terms.idf[terms.place[x]] if x in terms.place else 0, x))[:ANSWER]
             checks.append((item, len(words), masks, rare))
         for batch in batches:
             n_passages, hits, best = [], [], []
@@ -245,10 +246,10 @@ def prepared(docs: DataFrame, benchmark: DataFrame):
     counts = frequencies(docs, place, size)
     n = max(1, counts[-1])
     idf = np.log((1 + n) / (1 + counts[:-1]))
-    idf[counts[:-1] > COMMON * n] = 0
-    terms = Terms(place, idf)
-    if not idf.any():  # so few passages that every term is common
-        terms.idf = np.ones(size)
+    idf[counts[:-1] > max(FEW, COMMON * n)] = 0
+    if not idf.any():  # every term is common
+        idf = np.ones(size)
+    terms = Terms({w: d for w, d in place.items() if idf[d] > 0}, idf)
     rank = min(RANK + SPARE, sum(len(cs) for _, cs in rows) + SPARE, size)
     basis = latent_basis(benchmark.filter("item_id is not null and text is not null"), terms, rank) if rows else np.zeros((size, 1), np.float32)
     return rows, terms, basis
