@@ -56,3 +56,16 @@ def test_empty_tables(spark):
     docs, benchmark = spark.createDataFrame([(1, "a b", "")], COLUMNS), spark.createDataFrame([], "item_id bigint, text string")
     assert [list(r.items) for r in decontaminate.find_leaks(docs, benchmark).collect()] == [[]]
     assert decontaminate.find_leaks(docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
+
+
+def test_recall_over_more_items_than_the_space_has_dimensions(spark):
+    rng = random.Random(6)
+    some = lambda n: [f"v{int(3000 * rng.random() ** 2)}" for _ in range(n)]
+    items = {i: some(rng.randrange(12, 60)) for i in range(700)}
+    rows = [(i, " ".join(some(rng.randrange(40)) + items[i] + some(rng.randrange(40))), "") for i in items]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"))
+    by = {r.doc_id: set(r.items) for r in found.collect()}
+    assert [i for i in items if i not in by[i]] == []
+    words = {i: t.split() for i, t, _ in rows}
+    clear = {d: {i for i, w in items.items() if len(set(w) & set(words[d])) >= 0.6 * len(set(w)) and brute(w, words[d]) >= 0.9 * len(w)} for d in by}
+    assert all(clear[d] <= by[d] for d in by)

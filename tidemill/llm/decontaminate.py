@@ -55,10 +55,14 @@ def common_subsequence(masks: dict, size: int, words: list) -> int:
 
 @dataclass
 class Terms:
-    """Benchmark words, the dimension of each, and its inverse document frequency over all passages."""
+    """Benchmark words, the dimension of each, its inverse document frequency over all passages, and how many hold each word's."""
 
     place: dict[bytes, int]
     idf: np.ndarray
+    held: dict[bytes, int]
+
+    def rarest(self, words: list[bytes]) -> list[bytes]:
+        return sorted(set(words), key=lambda x: (self.held.get(x, 0), x))[:ANSWER]
 
     def dims(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
@@ -91,14 +95,47 @@ def weights(where: np.ndarray, dims: np.ndarray, idf: np.ndarray):
 
 
 def folded(p, d, w, n: int, basis: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of n passages under the basis; the norm is that of the whole vector."""
+    """Unit latent vectors of n passages under the basis; the norm is that of the projection, so that a copy's cosine is 1 at any rank."""
     out = np.zeros((n, basis.shape[1]), np.float32)
     for low in range(0, len(p), 1 << 17):
         s = slice(low, low + (1 << 17))
         rows, at = np.unique(p[s], return_index=True)
         out[rows] += np.add.reduceat(basis[d[s]] * w[s, None].astype(np.float32), at)
-    norm = np.sqrt(np.bincount(p, weights=w * w, minlength=n))
-    return out / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
+
+
+class Answers:
+    """The rarest words of each benchmark passage and the passages that each of them stands for."""
+
+    def __init__(self, rare: list[list[bytes]]):
+        of: dict[bytes, list[int]] = {}
+        for c, words in enumerate(rare):
+            for word in words:
+                of.setdefault(word, []).append(c)
+        self.place = {word: i for i, word in enumerate(of)}
+        self.size = np.array([len(cs) for cs in of.values()], np.int64)
+        self.flat = np.array([c for cs in of.values() for c in cs], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.cuts = max(1, len(rare))
+
+    def met(self, rows: list[list[bytes]], first: np.ndarray) -> np.ndarray:
+        """passage * cuts + benchmark passage, sorted, of every pair whose answer is in the passage or its context."""
+        out = []
+        for i, words in enumerate(rows):
+            own = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+            at = np.flatnonzero(own >= 0)
+            if not len(at):
+                continue
+            n, block = int(first[i + 1] - first[i]), at // STRIDE
+            for shift in range(-(CONTEXT // STRIDE), (PASSAGE + CONTEXT) // STRIDE):
+                p = block - shift
+                ok = (p >= 0) & (p < n)
+                key = np.unique((p[ok] + first[i]) * len(self.place) + own[at[ok]])
+                p, a = key // len(self.place), key % len(self.place)
+                size = self.size[a]
+                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                out.append(np.repeat(p, size) * self.cuts + self.flat[np.repeat(self.start[a], size) + step])
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20):
@@ -119,7 +156,7 @@ def frequencies(docs: DataFrame, place: dict[bytes, int], size: int) -> np.ndarr
     """The passages of all documents that hold each dimension, and last how many passages there are."""
 
     def run(batches):
-        terms, out = Terms(place, np.ones(size)), np.zeros(size + 1, np.int64)
+        terms, out = Terms(place, np.ones(size), {}), np.zeros(size + 1, np.int64)
         for batch in batches:
             for _, rows in _chunks(batch, 0):
                 first, where, dims = passages([terms.dims(r) for r in rows])
@@ -180,17 +217,17 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
     flat = np.concatenate(own) if own else np.zeros(0, np.int32)
     p, d, w = weights(where[flat >= 0], flat[flat >= 0].astype(np.int64), terms.idf)
     index = folded(p, d, w, len(cuts), basis)
-    shared = spark.sparkContext.broadcast((cuts, terms, basis, index))  # BLOCK passages at most
+    rare = [terms.rarest(c) for _, c in cuts]
+    shared = spark.sparkContext.broadcast((cuts, Terms(terms.place, terms.idf, {}), basis, index, rare))  # BLOCK passages at most
 
     def run(batches):
-        cuts, terms, basis, index = shared.value
-        checks = []
-        for item, words in cuts:
+        cuts, terms, basis, index, rare = shared.value
+        answers, checks = Answers(rare), []
+        for (item, words), own in zip(cuts, rare):
             masks: dict = {}
             for i, word in enumerate(words):
                 masks[word] = masks.get(word, 0) | 1 << i
-            rare = sorted(set(words), key=lambda x: (-terms.idf[terms.place[x]] if x in terms.place else 0, x))[:ANSWER]
-            checks.append((item, len(words), masks, rare))
+            checks.append((item, len(words), masks, own))
         for batch in batches:
             n_passages, hits, best = [], [], []
             for _, rows in _chunks(batch, batch.num_columns - 1):
@@ -199,19 +236,26 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
                 used = np.unique(p)
                 at = np.searchsorted(used, p)
                 found: list[dict] = [{} for _ in rows]
+                pairs = [answers.met(rows, first)]
                 for low in range(0, len(used), 1 << 14):
                     high = min(len(used), low + (1 << 14))
                     s = slice(*np.searchsorted(at, [low, high]))
-                    vectors = folded(at[s] - low, d[s], w[s], high - low, basis)
-                    for near, c in zip(*np.nonzero(vectors @ index.T >= COSINE)):
-                        row = int(np.searchsorted(first, used[low + near], "right")) - 1
-                        item, size, masks, rare = checks[c]
-                        start = int(used[low + near] - first[row]) * STRIDE
+                    near, c = np.nonzero(folded(at[s] - low, d[s], w[s], high - low, basis) @ index.T >= COSINE)
+                    pairs.append(used[low + near] * answers.cuts + c)
+                last = None
+                for key in np.unique(np.concatenate(pairs)).tolist():
+                    passage, c = divmod(key, answers.cuts)
+                    if passage != last:
+                        row = int(np.searchsorted(first, passage, "right")) - 1
+                        start = (passage - int(first[row])) * STRIDE
                         words = rows[row][max(0, start - CONTEXT) : start + PASSAGE + CONTEXT]
-                        share = common_subsequence(masks, size, words) / size
-                        held = set(words)
-                        if share >= (LCS if size >= SHORT else 1.0) and any(x in held for x in rare):
-                            found[row][item] = max(share, found[row].get(item, 0.0))
+                        held, last = set(words), passage
+                    item, size, masks, own = checks[c]
+                    if held.isdisjoint(own):
+                        continue
+                    share = common_subsequence(masks, size, words) / size
+                    if share >= (LCS if size >= SHORT else 1.0):
+                        found[row][item] = max(share, found[row].get(item, 0.0))
                 n_passages += np.diff(first).tolist()
                 hits += [sorted(f) for f in found]
                 best += [max(f.values(), default=0.0) for f in found]
@@ -249,7 +293,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame):
     idf[counts[:-1] > max(FEW, COMMON * n)] = 0
     if not idf.any():  # every term is common
         idf = np.ones(size)
-    terms = Terms({w: d for w, d in place.items() if idf[d] > 0}, idf)
+    terms = Terms({w: d for w, d in place.items() if idf[d] > 0}, idf, {w: int(counts[d]) for w, d in place.items()})
     rank = min(RANK + SPARE, sum(len(cs) for _, cs in rows) + SPARE, size)
     basis = latent_basis(benchmark.filter("item_id is not null and text is not null"), terms, rank) if rows else np.zeros((size, 1), np.float32)
     return rows, terms, basis
@@ -259,9 +303,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_passages, items (ids of the benchmark items that a row holds, sorted) and score (largest share met, else 0).
 
     The latent space is that of the benchmark's passages, under frequencies over all passages of the documents; every
-    passage of every document is folded into it and held against every benchmark passage by cosine. A candidate counts if
-    the longest common subsequence with the passage and its context has LCS of the benchmark passage's words, in order,
-    and one of its rarest words (the answer) is there. Null and empty texts have one empty passage and no items. Repeated
+    passage of every document is folded into it and held against every benchmark passage by cosine. Beside these, every
+    passage that has one of the benchmark passage's rarest words (the answer) in it or its context is a candidate, so none
+    is lost whatever the rank of the space or the weights. A candidate counts if the longest common subsequence with the
+    passage and its context has LCS of the benchmark passage's words, in order, and the answer is there. Null and empty texts have one empty passage and no items. Repeated
     rows come out once each. Items with a null id or text or without words are left out; repeated items count once.
     """
     rows, terms, basis = prepared(docs, benchmark)
