@@ -69,3 +69,18 @@ def test_recall_over_more_items_than_the_space_has_dimensions(spark):
     words = {i: t.split() for i, t, _ in rows}
     clear = {d: {i for i, w in items.items() if len(set(w) & set(words[d])) >= 0.6 * len(set(w)) and brute(w, words[d]) >= 0.9 * len(w)} for d in by}
     assert all(clear[d] <= by[d] for d in by)
+
+
+def test_an_item_leaked_in_a_third_of_the_rows_is_found(spark):
+    rng = random.Random(7)
+    some = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    items = {i: some(rng.randrange(12, 60)) for i in range(30)}
+    hot = " ".join(some(60) + items[3] + some(60))
+    rows = [(i, hot if i % 3 == 0 else " ".join(some(150)), "") for i in range(600)]
+    rows += [(1000 + i, " ".join(some(50) + items[3] + some(50)), "") for i in range(20)]
+    rows += [(2000 + i, " ".join(some(50) + items[i] + some(50)), "") for i in items]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"))
+    want = {i: [3] if i % 3 == 0 and i < 600 or 1000 <= i < 2000 else [i - 2000] if i >= 2000 else [] for i, _, _ in rows}
+    assert {r.doc_id: list(r.items) for r in found.collect()} == want
+    terms = decontaminate.prepared(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(3, " ".join(items[3]))], "item_id bigint, text string"))[1]
+    assert all(terms.idf[terms.place[w.encode()]] > 0 for w in items[3])

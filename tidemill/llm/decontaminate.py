@@ -17,8 +17,8 @@ from tidemill.llm.common import documents
 PASSAGE, STRIDE, CONTEXT = 64, 32, 32
 #: Latent dimensions, and spare ones that the randomised range finder draws; dimensions that terms are folded into beyond.
 RANK, SPARE, TERMS = 256, 8, 1 << 14
-#: Terms in over this share of passages (and over FEW of them) are left out: they say little and stand everywhere.
-COMMON, FEW = 0.02, 10
+#: Least weight of a term, so that one in every passage still has some.
+LEAST = 0.01
 #: Least cosine of a candidate, and least share of a benchmark passage's words in its longest common subsequence.
 COSINE, LCS = 0.45, 0.6
 #: Benchmark passages under SHORT words must be met whole. Of its ANSWER rarest words, which stand for its answer, one must be there.
@@ -68,12 +68,16 @@ class Terms:
         return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
 
 
+def starts(lengths: list[int]) -> np.ndarray:
+    """The first passage of each text of so many words, and last how many passages there are."""
+    return np.cumsum([0] + [max(1, -(-(n - (PASSAGE - STRIDE)) // STRIDE)) for n in lengths])
+
+
 def passages(counts: list[np.ndarray]):
     """From each text's dims: first passage of each text, and (passage, dim) of every term in every passage that holds it."""
-    first, where, dims, total = [], [], [], 0
-    for own in counts:
-        n = max(1, -(-(len(own) - (PASSAGE - STRIDE)) // STRIDE))
-        first.append(total)
+    first, where, dims = starts([len(own) for own in counts]), [], []
+    for total, end, own in zip(first[:-1], first[1:], counts):
+        n = end - total
         at = np.flatnonzero(own >= 0)
         block = at // STRIDE
         for shift in range(PASSAGE // STRIDE):
@@ -81,8 +85,7 @@ def passages(counts: list[np.ndarray]):
             ok = (p >= 0) & (p < n)
             where.append(p[ok] + total)
             dims.append(own[at[ok]])
-        total += n
-    return np.array(first + [total]), np.concatenate(where or [np.zeros(0, np.int64)]), np.concatenate(dims or [np.zeros(0, np.int32)])
+    return first, np.concatenate(where or [np.zeros(0, np.int64)]), np.concatenate(dims or [np.zeros(0, np.int32)])
 
 
 def weights(where: np.ndarray, dims: np.ndarray, idf: np.ndarray):
@@ -231,12 +234,17 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
         for batch in batches:
             n_passages, hits, best = [], [], []
             for _, rows in _chunks(batch, batch.num_columns - 1):
-                first, where, dims = passages([terms.dims(r) for r in rows])
-                p, d, w = weights(where, dims.astype(np.int64), terms.idf)
+                first = starts([len(r) for r in rows])
+                pairs = [answers.met(rows, first)]
+                # No hit is without an answer, so only passages with one within reach are folded.
+                within = np.zeros(first[-1], bool)
+                within[pairs[0] // answers.cuts] = True
+                reached = np.add.reduceat(within, first[:-1]) > 0
+                _, where, dims = passages([terms.dims(r) if ok else np.full(len(r), -1, np.int32) for ok, r in zip(reached, rows)])
+                p, d, w = weights(where[within[where]], dims[within[where]].astype(np.int64), terms.idf)
                 used = np.unique(p)
                 at = np.searchsorted(used, p)
                 found: list[dict] = [{} for _ in rows]
-                pairs = [answers.met(rows, first)]
                 for low in range(0, len(used), 1 << 14):
                     high = min(len(used), low + (1 << 14))
                     s = slice(*np.searchsorted(at, [low, high]))
@@ -289,11 +297,8 @@ def prepared(docs: DataFrame, benchmark: DataFrame):
     place = {w: (i if len(vocabulary) <= TERMS else zlib.crc32(w) % TERMS) for i, w in enumerate(vocabulary)}
     counts = frequencies(docs, place, size)
     n = max(1, counts[-1])
-    idf = np.log((1 + n) / (1 + counts[:-1]))
-    idf[counts[:-1] > max(FEW, COMMON * n)] = 0
-    if not idf.any():  # every term is common
-        idf = np.ones(size)
-    terms = Terms({w: d for w, d in place.items() if idf[d] > 0}, idf, {w: int(counts[d]) for w, d in place.items()})
+    idf = np.maximum(np.log((1 + n) / (1 + counts[:-1])), LEAST)
+    terms = Terms(place, idf, {w: int(counts[d]) for w, d in place.items()})
     rank = min(RANK + SPARE, sum(len(cs) for _, cs in rows) + SPARE, size)
     basis = latent_basis(benchmark.filter("item_id is not null and text is not null"), terms, rank) if rows else np.zeros((size, 1), np.float32)
     return rows, terms, basis
@@ -302,10 +307,10 @@ def prepared(docs: DataFrame, benchmark: DataFrame):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_passages, items (ids of the benchmark items that a row holds, sorted) and score (largest share met, else 0).
 
-    The latent space is that of the benchmark's passages, under frequencies over all passages of the documents; every
-    passage of every document is folded into it and held against every benchmark passage by cosine. Beside these, every
-    passage that has one of the benchmark passage's rarest words (the answer) in it or its context is a candidate, so none
-    is lost whatever the rank of the space or the weights. A candidate counts if the longest common subsequence with the
+    The latent space is that of the benchmark's passages, under frequencies over all passages of the documents, in which
+    every term has a weight; every passage of every document that has an answer (one of some benchmark passage's rarest
+    words) in it or its context is folded into it and held against every benchmark passage by cosine. Beside these, every
+    such passage is a candidate for the benchmark passages of its answers, so none is lost whatever the rank or weights. A candidate counts if the longest common subsequence with the
     passage and its context has LCS of the benchmark passage's words, in order, and the answer is there. Null and empty texts have one empty passage and no items. Repeated
     rows come out once each. Items with a null id or text or without words are left out; repeated items count once.
     """
