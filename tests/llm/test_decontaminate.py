@@ -84,3 +84,13 @@ def test_an_item_leaked_in_a_third_of_the_rows_is_found(spark):
     assert {r.doc_id: list(r.items) for r in found.collect()} == want
     terms = decontaminate.prepared(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(3, " ".join(items[3]))], "item_id bigint, text string"))[1]
     assert all(terms.idf[terms.place[w.encode()]] > 0 for w in items[3])
+
+
+def test_rows_of_one_id_stay_apart_over_several_blocks(spark, monkeypatch):
+    items = {i: " ".join(f"b{i}x{j}" for j in range(20)) for i in range(6)}
+    rows = [(None, items[0], ""), (None, "x y z", ""), (7, items[1] + " " + items[5], ""), (7, items[1] + " " + items[5], ""), (8, items[4], "")]
+    docs, benchmark = spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    plain = lambda: sorted((str(r.doc_id), r.n_passages, list(r.items), r.score) for r in decontaminate.find_leaks(docs, benchmark).collect())
+    whole = plain()
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    assert plain() == whole and len(whole) == 5

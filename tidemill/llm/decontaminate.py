@@ -316,13 +316,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     rows, terms, basis = prepared(docs, benchmark)
     blocks = _blocks(rows)
-    found = matches(docs, blocks[0], terms, basis)
     if len(blocks) == 1:
-        return found
-    for block in blocks[1:]:
-        found = found.unionByName(matches(docs, block, terms, basis))
-    marked = F.max("n_passages").alias("n_passages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("score").alias("score")
-    return found.groupBy("doc_id").agg(*marked)
+        return matches(docs, blocks[0], terms, basis)
+    found = docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("__items"), F.lit(0.0).alias("__score"))
+    for block in blocks:
+        held = matches(found, block, terms, basis, ("doc_id", "text", "__items", "__score"))
+        merged = F.array_sort(F.array_union("__items", "items")).alias("__items"), F.greatest("__score", "score").alias("__score")
+        found = held.select("doc_id", "text", "n_passages", *merged)
+    return found.select("doc_id", "n_passages", F.col("__items").alias("items"), F.col("__score").alias("score"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
