@@ -1,29 +1,37 @@
-"""Exact repeated windows of words or bytes over all documents, by winnowed seeds and extension (operators 8 and 4).
-
-A window of `length` units takes the least hash of its `seed`-unit grams as its seed, and the least of each `probe` grams
-in a row as its probes, so equal windows have equal seeds and probes.
-
-1. probes  are counted; a window with a probe found once cannot be repeated, the others are likely.
-2. spans   runs of likely windows with one seed are extended to the whole text they span; a span that stands twice
-           settles all its windows at once, which is the rule inside long matches.
-3. edges   seeds with a span that stands once are opened: their likely windows are counted one by one, which finds the
-           exact ends of each match.
-4. cut     every likely window is removed, but for those that step 3 found once.
-
-No pairs of documents are formed, so a group of n copies costs n rows; all counts combine before they are shuffled.
-Sets of probes and seeds reach the tasks as bit tables of bounded size (32 MB at most); a wrong yes only adds rows to step 2 or 3.
-Keys are 64-bit hashes for seeds and 96 or 128 bits for spans and windows, so equal keys are taken for equal text.
+"""Exact repeats of `length` units over all documents by seed and extend (operators 8 and 4).
+
+1. anchors    a window of `length` units names as its anchors the least of the hashes of its `gram`-unit grams, so equal
+              windows name anchors at equal places. An anchor's context is what windows that hold it can reach.
+2. classes    occurrences of repeated anchors are counted by anchor and context (128 bits over the text). In a class that
+              stands twice every window is repeated; a class stands for its copies from here on.
+3. extension  the classes of an anchor are joined with the anchor's leader, the class with most copies. Each is extended
+              both ways against the leader's text; a match of `length` or more is a maximal repeat.
+4. descent    what a class has beyond its match with the leader can still be shared with classes that differ from the
+              leader at the same unit in the same way. These form groups of their own with longer seeds and go to step 3.
+5. cut        the stretches found are laid over each document and removed in one go.
+
+Nothing is compared in pairs but with a leader. An anchor of over `crowd` classes is dealt out in parts of about that size,
+each with the leader's text; its groups of step 4 form anew over all parts. Grams are hashed for speed only: windows are
+equal because their text is, or (contexts) 128 bits of XXH3 over it.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidemill.llm.common import Bitmap, Rolling, byte_texts, joined_words, mixed, text_hash, written
+from tidemill.llm.common import Bitmap, Rolling, byte_texts, joined_words, mixed, written
+
+#: Rows of a record batch that is built in numpy.
+ROWS = 1 << 16
+#: Repeated anchors up to which their bit table (32 MB at most) is sent to the tasks; more are joined with the occurrences.
+TABLED = 1 << 25
 
 
 def least(values: np.ndarray, window: int) -> np.ndarray:
@@ -38,168 +46,339 @@ def least(values: np.ndarray, window: int) -> np.ndarray:
 
 
 @dataclass
-class Windows:
-    """How a text is cut into windows: `unit` is "word" or "byte". It is worked on in pieces of `piece` units, which bounds a task's memory."""
+class Plan:
+    """What a repeat is: `unit` is "word" or "byte". Texts are hashed in pieces of `piece` units, which bounds a task's memory."""
 
     unit: str
     length: int
-    seed: int
-    probe: int
-    piece: int = 1 << 20
-    one: Rolling = field(default_factory=lambda: Rolling(11))
-    two: Rolling = field(default_factory=lambda: Rolling(23))
+    gram: int
+    piece: int = 1 << 19
+    crowd: int = 4096
+    hashes: Rolling = field(default_factory=lambda: Rolling(11))
+
+    @property
+    def reach(self) -> int:
+        """Units that a window can hold before its anchor."""
+        return self.length - self.gram
 
     def units(self, text: bytes):
         """Bytes, and the start and end of each unit (None where units are bytes)."""
         if self.unit == "byte":
-            return np.frombuffer(text, np.uint8), None, None
-        joined, starts, ends = joined_words(text)
-        return np.frombuffer(joined, np.uint8), starts, ends
-
-    def pieces(self, text: bytes):
-        """(first window, hashes of its grams, the piece) over a text; no piece if the text is shorter than a window."""
-        data, starts, ends = self.units(text)
-        n = len(data) if starts is None else len(starts)
+            return text, None, None
+        return joined_words(text)
+
+    def spots(self, data: bytes, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of every gram that is the least of some window."""
+        raw = np.frombuffer(data, np.uint8)
+        n, gram, wide = len(raw) if starts is None else len(starts), self.gram, self.reach + 1
+        places, values = [], []
         for at in range(0, n - self.length + 1, self.piece):
             stop = min(n, at + self.piece + self.length - 1)
             if starts is None:
-                piece = Piece(self, data[at:stop], None, None, stop - at)
+                prefix = self.hashes.prefix(raw[at:stop])
+                grams = mixed((prefix[gram:] - prefix[:-gram]) * self.hashes.inverse[: stop - at - gram + 1])
             else:
                 low = starts[at]
-                piece = Piece(self, data[low : ends[stop - 1]], starts[at:stop] - low, ends[at:stop] - low, stop - at)
-            yield at, piece
+                prefix = self.hashes.prefix(raw[low : ends[stop - 1]])
+                grams = self.hashes.ranges(prefix, starts[at : stop - gram + 1] - low, ends[at + gram - 1 : stop] - low)
+            low = np.full(len(grams) + wide - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+            low[wide - 1 : len(grams)] = ~least(grams, wide)
+            named = np.flatnonzero(~least(low, wide) == grams)  # the largest of the minima of the windows that hold a gram
+            places.append(named + at)
+            values.append(grams[named])
+        if len(places) < 2:
+            return (places[0], values[0]) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        spots, first = np.unique(np.concatenate(places), return_index=True)
+        return spots, np.concatenate(values)[first]
+
+    def bounds(self, spots: np.ndarray, data: bytes, starts, ends):
+        """Units before the anchor in its context, and the first, anchor's and last byte of the context."""
+        low = np.maximum(spots - self.reach, 0)
+        high = np.minimum(spots + self.length, len(data) if starts is None else len(starts))
+        if starts is None:
+            return spots - low, low, spots, high
+        return spots - low, starts[low], starts[spots], ends[high - 1]
+
+    def classes(self, spots: np.ndarray, data: bytes, starts, ends) -> np.ndarray:
+        """Two 64-bit halves of the hash of each anchor's context and of where the anchor stands in it."""
+        left, low, _, high = self.bounds(spots, data, starts, ends)
+        digest, view = xxhash.xxh3_128_digest, memoryview(data)
+        found = [digest(view[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist())]
+        return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+
+    def matched(self, one: "Member", two: "Member") -> tuple[int, int]:
+        """Units that two contexts share before the anchor, and from it on."""
+        before, after = _shared(one.before, two.before, "little"), _shared(one.after, two.after, "big")
+        if self.unit == "byte":
+            return before, after
+        whole = _ends(one.before, len(one.before) - before - 1) and _ends(two.before, len(two.before) - before - 1)
+        left = one.before[len(one.before) - before :].count(b" ") - (before > 0 and not whole)
+        return left, one.after[:after].count(b" ") + (_ends(one.after, after) and _ends(two.after, after))
 
 
-class Piece:
-    def __init__(self, plan: Windows, data, starts, ends, n: int):
-        self.plan, self.data, self.starts, self.ends, self.n = plan, data, starts, ends, n
-        self.first = plan.one.prefix(data)
-        self.second = None
-        seed = plan.seed
-        if starts is None:
-            self.grams = self._mix(self.first[seed:] - self.first[: n - seed + 1], n - seed + 1)
-        else:
-            self.grams = plan.one.ranges(self.first, starts[: n - seed + 1], ends[seed - 1 :])
-        self.seeds = least(self.grams, plan.length - seed + 1)
-        self.probes = least(self.grams, plan.probe)
-
-    def _mix(self, difference, n):
-        return mixed(difference * self.plan.one.inverse[:n])
-
-    def found(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each probe of the piece, and at how many places its gram stands there."""
-        change = np.flatnonzero(self.probes[1:] != self.probes[:-1])
-        values = np.unique(self.probes[np.concatenate(([0], change + 1))])
-        marks = np.zeros(1 << 16, bool)
-        marks[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
-        near = self.grams[marks[(self.grams & np.uint64(0xFFFF)).astype(np.uint16)]]
-        slot = np.minimum(np.searchsorted(values, near), len(values) - 1)
-        return values, np.bincount(slot[values[slot] == near], minlength=len(values))
-
-    def likely(self, repeated: Bitmap) -> np.ndarray:
-        """The windows whose every probe is repeated; no other can be."""
-        change = np.flatnonzero(self.probes[1:] != self.probes[:-1]) + 1
-        low, high = np.concatenate(([0], change)), np.concatenate((change, [len(self.probes)]))
-        bad = np.concatenate(([0], np.cumsum(np.repeat(~repeated.has(self.probes[low]), high - low))))
-        return bad[len(bad) - len(self.seeds) :] == bad[: len(self.seeds)]
-
-    def runs(self, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last window of each run of likely windows with one seed."""
-        w = np.flatnonzero(likely)
-        if not len(w):
-            return w, w
-        split = np.flatnonzero((np.diff(w) > 1) | (self.seeds[w[1:]] != self.seeds[w[:-1]]))
-        return w[np.concatenate(([0], split + 1))], w[np.concatenate((split, [len(w) - 1]))]
-
-    def hashes(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the text of units start to stop (exclusive)."""
-        if self.second is None:
-            self.second = self.plan.two.prefix(self.data)
-        low = start if self.starts is None else self.starts[start]
-        high = stop if self.starts is None else self.ends[stop - 1]
-        return self.plan.one.ranges(self.first, low, high), self.plan.two.ranges(self.second, low, high)
-
-
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
-
-
-def _seed_counts(docs: DataFrame, plan: Windows) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in byte_texts(batch.column(0)):
-                for _, piece in plan.pieces(text):
-                    v, c = piece.found()
-                    values.append(v), counts.append(c)
-            v, back = np.unique(np.concatenate(values), return_inverse=True)
-            c = np.bincount(back, weights=np.concatenate(counts), minlength=len(v)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(v), pa.array(c > 1)], ["seed", "many"])
+def _shared(one: bytes, two: bytes, order: str) -> int:
+    """Bytes that two strings share at their beginnings (order big) or ends (little)."""
+    n = min(len(one), len(two))
+    if order == "big":
+        differ = int.from_bytes(one[:n], "big") ^ int.from_bytes(two[:n], "big")
+    else:
+        differ = int.from_bytes(one[len(one) - n :], "little") ^ int.from_bytes(two[len(two) - n :], "little")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _ends(text: bytes, at: int) -> bool:
+    """Whether a word cannot go on at this place."""
+    return at < 0 or at >= len(text) or text[at] == 32
+
+
+class Member:
+    """A class of an anchor: its context, and the windows of it that are open.
+
+    Open are the windows that hold `low` units before the anchor and `high` from it on, and reach no further than `left`
+    units before it and `right` from it on.
+    """
+
+    __slots__ = ("key", "copies", "before", "after", "low", "high", "left", "right")
 
-    found = docs.select("text").mapInArrow(run, "seed bigint, many boolean")
-    return found.groupBy("seed").agg((F.max("many") | (F.count("*") > 1)).alias("many")).filter("many").select("seed")
+    def __init__(self, key, copies, before, after, low, high, left, right):
+        self.key, self.copies, self.before, self.after = key, copies, before, after
+        self.low, self.high, self.left, self.right = low, high, left, right
 
+    def unit(self, plan: Plan, at: int) -> bytes:
+        """The unit `at` places from the anchor, which is 0."""
+        if plan.unit == "byte":
+            return self.after[at : at + 1] if at >= 0 else self.before[len(self.before) + at :][:1]
+        return self.after.split(b" ")[at] if at >= 0 else self.before.split(b" ")[at - 1]
+
+
+def extend(plan: Plan, leader: Member, members: list[Member]):
+    """(member, left, right) of each maximal repeat with the leader, and (side, place, unit, member) of what stays open.
+
+    A window that is open in a member and not in its match goes on past it to the right, or else to the left.
+    """
+    repeats, rest = [], []
+    for one in members:
+        left, right = plan.matched(leader, one)
+        left, right = min(left, plan.reach), min(right, plan.length)
+        if left + right >= plan.length:
+            repeats.append((one, left, right))
+        high = max(one.high, right + 1)
+        if right < one.right and max(one.low, plan.length - one.right) <= min(one.left, plan.length - high):
+            rest.append(("r", right, one.unit(plan, right), Member(one.key, one.copies, one.before, one.after, one.low, high, one.left, one.right)))
+        stop = min(right, one.right)
+        if left < one.left and max(left + 1, plan.length - stop) <= min(one.left, plan.length - one.high):
+            rest.append(("l", left, one.unit(plan, -left - 1), Member(one.key, one.copies, one.before, one.after, left + 1, one.high, one.left, stop)))
+    return repeats, rest
+
+
+def settle(plan: Plan, members: list[Member]):
+    """(member, left, right) of the maximal repeats of a group whose members all share its seed."""
+    work = [members]
+    while work:
+        group = work.pop()
+        leader = max(group, key=lambda m: m.copies)
+        repeats, rest = extend(plan, leader, [m for m in group if m is not leader])
+        wide: dict[int, int] = {}
+        for _, left, right in repeats:
+            wide[left] = max(wide.get(left, 0), right)
+        yield from repeats
+        yield from ((leader, left, right) for left, right in wide.items())
+        groups = defaultdict(list)
+        for side, at, unit, member in rest:
+            groups[side, at, unit].append(member)
+        work += [g for g in groups.values() if len(g) > 1]
+
+
+KEYS = "d bigint, mark bigint"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and d and mark, which tell apart rows that differ in either; never null."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("d"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("mark"))
+
+
+def _anchors(docs: DataFrame, plan: Plan) -> DataFrame:
+    """Anchors that stand at more than one place."""
 
-def _spans(docs: DataFrame, plan: Windows, repeated) -> DataFrame:
     def run(batches):
-        known = repeated.value
+        def counted(held):
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times > 1)], ["anchor", "many"])
+
+        held, size = [], 0
         for batch in batches:
-            rows = []
             for text in byte_texts(batch.column(0)):
-                for _, piece in plan.pieces(text):
-                    low, high = piece.runs(piece.likely(known))
-                    if len(low):
-                        rows.append((*piece.hashes(low, high + plan.length), piece.seeds[low]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(x)) for x in zip(*rows)], ["s1", "s2", "seed"])
+                _, values = plan.spots(*plan.units(text))
+                held.append(values)
+                size += len(values)
+                if size >= 1 << 20:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
 
-    found = docs.select("text").mapInArrow(run, "s1 bigint, s2 bigint, seed bigint")
-    return found.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("seed").alias("seed")).filter("n = 1").select("seed").distinct()
+    found = docs.select("text").mapInArrow(run, "anchor bigint, many boolean")
+    return found.groupBy("anchor").agg((F.max("many") | (F.count("*") > 1)).alias("many")).filter("many").select("anchor")
 
 
-def _edges(docs: DataFrame, plan: Windows, repeated, opened) -> DataFrame:
-    """Windows of opened seeds that stand once: doc_id, mark, ats."""
+def _occurrences(docs: DataFrame, plan: Plan, repeated) -> DataFrame:
+    """anchor, c1, c2 (its context), d, mark, at: every place of an anchor that `repeated`, if given, has."""
 
     def run(batches):
-        known, open_ = repeated.value, opened.value
+        def batch_of(rows):
+            anchors, classes, d, mark, spots = (np.concatenate(x) for x in zip(*rows))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(anchors.view(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(d), pa.array(mark), pa.array(spots)],
+                ["anchor", "c1", "c2", "d", "mark", "at"],
+            )
+
+        known = repeated.value if repeated is not None else None
+        rows, size = [], 0
         for batch in batches:
-            rows, origin = [], []
-            for i, text in enumerate(byte_texts(batch.column(2))):
-                for at, piece in plan.pieces(text):
-                    w = np.flatnonzero(piece.likely(known))
-                    w = w[open_.has(piece.seeds[w])]
-                    if len(w):
-                        one, two = piece.hashes(w, w + plan.length)
-                        rows.append((one, (two >> np.uint64(32)).astype(np.uint32), w + at))
-                        origin.append(np.full(len(w), i))
-            if rows:
-                one, two, at = (np.concatenate(x) for x in zip(*rows))
-                origin = pa.array(np.concatenate(origin))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(one), pa.array(two.view(np.int32)), batch.column(0).take(origin), batch.column(1).take(origin), pa.array(at)],
-                    ["w1", "w2", "doc_id", "mark", "at"],
-                )
+            for d, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2))):
+                data, starts, ends = plan.units(text)
+                spots, values = plan.spots(data, starts, ends)
+                if known is not None:
+                    keep = known.has(values)
+                    spots, values = spots[keep], values[keep]
+                for low in range(0, len(spots), ROWS):
+                    s = slice(low, low + ROWS)
+                    n = len(spots[s])
+                    rows.append((values[s], plan.classes(spots[s], data, starts, ends), np.full(n, d), np.full(n, mark), spots[s]))
+                    size += n
+                    if size >= ROWS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return docs.select("d", "mark", "text").mapInArrow(run, f"anchor bigint, c1 bigint, c2 bigint, {KEYS}, at bigint")
+
+
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """Texts compressed before they are shuffled."""
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "mark", "text").mapInArrow(run, f"w1 bigint, w2 int, doc_id {kind}, mark int, at bigint")
-    once = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("doc_id", "mark", "at")]).filter("n = 1")
-    return once.groupBy("doc_id", "mark").agg(F.collect_list("at").alias("ats"))
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack(t) for t in byte_texts(batch.column(batch.num_columns - 1))], pa.binary())], [*names, "text"])
+
+    kept = docs.select(*names, "text")
+    return kept.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", text binary")
 
 
-def _cover(text: bytes, plan: Windows, repeated: Bitmap, once: np.ndarray, n: int) -> np.ndarray:
-    """Which of the n units are covered by a repeated window."""
-    turn = np.zeros(n + 1, np.int64)
-    for at, piece in plan.pieces(text):
-        ok = piece.likely(repeated)
-        mine = once[(once >= at) & (once < at + len(ok))] - at
-        ok[mine] = False
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], ok.view(np.int8), [0]))))
-        turn[edge[::2] + at] += 1
-        np.add.at(turn, edge[1::2] + at + plan.length - 1, -1)
-    return np.cumsum(turn[:n]) > 0
+MEMBER = "c1 bigint, c2 bigint, copies bigint, before binary, after binary, low int, high int, left int, right int"
 
 
-def cut_repeats(docs: DataFrame, plan: Windows) -> DataFrame:
+def _members(docs: DataFrame, plan: Plan, classes: DataFrame) -> DataFrame:
+    """anchor, classes (how many it has), lead, and the columns of MEMBER for each class of an anchor with several."""
+    leads = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.max_by(F.struct("c1", "c2"), F.struct("copies", "c1", "c2")).alias("l")).filter("classes > 1")
+    lead = ((F.col("c1") == F.col("l.c1")) & (F.col("c2") == F.col("l.c2"))).alias("lead")
+    opened = classes.join(leads, "anchor").select("anchor", "classes", lead, "c1", "c2", "copies", "place.d", "place.mark", "place.at")
+    wanted = opened.groupBy("d", "mark").agg(F.collect_list(F.struct("at", "anchor", "classes", "lead", "c1", "c2", "copies")).alias("spots"))
+    names = ["anchor", "classes", "lead", "c1", "c2", "copies"]
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for text, held in zip(batch.column(0), batch.column(1)):
+                data, starts, ends = plan.units(unpack(text.as_py()))
+                fields = held.values
+                spots = fields.field("at").to_numpy()
+                for at in range(0, len(spots), 1 << 12):
+                    s = slice(at, at + (1 << 12))
+                    left, low, mid, high = plan.bounds(spots[s], data, starts, ends)
+                    n = len(left)
+                    right = np.minimum(plan.length, (len(data) if starts is None else len(starts)) - spots[s])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[fields.field(x).slice(at, n) for x in names],
+                            pa.array([data[a:b] for a, b in zip(low.tolist(), mid.tolist())], pa.binary()),
+                            pa.array([data[a:b] for a, b in zip(mid.tolist(), high.tolist())], pa.binary()),
+                            pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, plan.gram, np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)),
+                        ],
+                        [*names, "before", "after", "low", "high", "left", "right"],
+                    )
+
+    joined = _packed(docs, "d", "mark").join(wanted, ["d", "mark"]).select("text", "spots")
+    return joined.mapInArrow(run, f"anchor bigint, classes bigint, lead boolean, {MEMBER}")
+
+
+STRETCH = "l int, r int"
+
+
+def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
+    """c1, c2, l, r of maximal repeats; and MEMBER with a group (g1, g2) for what crowded groups leave open."""
+    parts = F.ceil(F.col("classes") / plan.crowd).cast("int")
+    salt = F.when(F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("c2", "c1"), parts).cast("int")))
+    dealt = members.withColumns({"part": F.explode(salt)}).repartition(*group, "part").sortWithinPartitions(*group, "part", F.desc("lead"), "c1", "c2")
+    names = [f.split()[0] for f in MEMBER.split(", ")]
+    kept = dealt.select(*group, "part", "classes", *names)
+
+    def run(batches):
+        stretches, opened = [], []
+
+        def closed(key, members):
+            if len(members) < 2:
+                return
+            if key[-1] <= plan.crowd:
+                stretches.extend((*m.key, left, right) for m, left, right in settle(plan, members))
+                return
+            leader, wide = members[0], {}
+            repeats, rest = extend(plan, leader, members[1:])
+            for one, left, right in repeats:
+                stretches.append((*one.key, left, right))
+                wide[left] = max(wide.get(left, 0), right)
+            stretches.extend((*leader.key, left, right) for left, right in wide.items())
+            for side, at, unit, m in rest:
+                name = xxhash.xxh3_128_digest(repr((key[: len(group)], side, at, unit)).encode())
+                opened.append((*np.frombuffer(name, "<i8").tolist(), *m.key, m.copies, m.before, m.after, m.low, m.high, m.left, m.right))
+
+        def batch_of():
+            shape = [("c1", 0), ("c2", 1), ("l", 2), ("r", 3)]
+            blank = len(stretches), len(opened)
+            column = lambda rows, i, kind: pa.array([x[i] for x in rows], kind)
+            types = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 4)))
+            out = {k: pa.concat_arrays([column(stretches, i, pa.int64() if i < 2 else pa.int32()), column(opened, i + 2, pa.int64()) if i < 2 else pa.nulls(blank[1], pa.int32())]) for k, i in shape}
+            for i, k in enumerate(("g1", "g2")):
+                out[k] = pa.concat_arrays([pa.nulls(blank[0], pa.int64()), column(opened, i, pa.int64())])
+            for i, k in enumerate(names[2:], 4):
+                out[k] = pa.concat_arrays([pa.nulls(blank[0], types[k]), column(opened, i, types[k])])
+            stretches.clear(), opened.clear()
+            return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+        current, members = None, []
+        wide = len(group) + 2
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:wide] != current:
+                    closed(current, members)
+                    current, members = row[:wide], []
+                    if len(stretches) + 8 * len(opened) >= ROWS:
+                        yield batch_of()
+                c1, c2, *rest = row[wide:]
+                members.append(Member((c1, c2), *rest))
+        closed(current, members)
+        yield batch_of()
+
+    return kept.mapInArrow(run, f"c1 bigint, c2 bigint, l int, r int, g1 bigint, g2 bigint, {MEMBER.split(', ', 2)[2]}")
+
+
+def _stretches(docs: DataFrame, plan: Plan, classes: DataFrame) -> DataFrame:
+    """c1, c2, l, r: the repeated stretches of each class, as units before its anchor and from it on."""
+    whole = classes.filter("copies > 1").select("c1", "c2", F.lit(plan.reach).alias("l"), F.lit(plan.length).alias("r"))
+    found = written(_extended(_members(docs, plan, classes), plan, ["anchor"]), "extended")
+    every = found.filter("l is not null").select("c1", "c2", "l", "r")
+    while not (rest := found.filter("l is null")).isEmpty():
+        groups = rest.groupBy("g1", "g2").agg(F.count("*").alias("classes"), F.max_by(F.struct("c1", "c2"), F.struct("copies", "c1", "c2")).alias("h")).filter("classes > 1")
+        lead = ((F.col("c1") == F.col("h.c1")) & (F.col("c2") == F.col("h.c2"))).alias("lead")
+        members = rest.join(groups, ["g1", "g2"]).select("g1", "g2", "classes", lead, *[f.split()[0] for f in MEMBER.split(", ")])
+        found = written(_extended(members, plan, ["g1", "g2"]), "extended")
+        every = every.unionByName(found.filter("l is not null").select("c1", "c2", "l", "r"))
+    return whole.unionByName(every).groupBy("c1", "c2", "l").agg(F.max("r").alias("r"))
+
+
+def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept (the text left): every unit in a repeated window removed, in one go.
 
     Null and empty texts have no windows and come out whole. Rows with one doc_id are texts of their own; a repeated row
@@ -207,29 +386,43 @@ def cut_repeats(docs: DataFrame, plan: Windows) -> DataFrame:
     input alone. Words kept are joined by one space; bytes kept are concatenated.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text_hash().alias("mark"), "text")
-    seeds = written(_seed_counts(docs, plan), "seeds")
-    repeated = spark.sparkContext.broadcast(Bitmap.of(seeds, "seed", seeds.count()))
-    open_seeds = written(_spans(docs, plan, repeated), "open")
-    opened = spark.sparkContext.broadcast(Bitmap.of(open_seeds, "seed", open_seeds.count()))
-    edges = _edges(docs, plan, repeated, opened).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "ats")
-    joined = docs.join(edges, docs.doc_id.eqNullSafe(edges.d) & (docs.mark == edges.m), "left").select("doc_id", "text", "ats")
+    docs = keyed(docs)
+    anchors = written(_anchors(docs, plan), "anchors")
+    count = anchors.count()
+    if count <= TABLED:
+        places = _occurrences(docs, plan, spark.sparkContext.broadcast(Bitmap.of(anchors, "anchor", count)))
+    else:
+        places = _occurrences(docs, plan, None).join(anchors, "anchor", "left_semi")
+    places = written(places, "places")
+    classes = places.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d", "mark", "at")).alias("place"))
+    stretches = _stretches(docs, plan, written(classes, "classes"))
+    met = places.join(stretches, ["c1", "c2"])
+    spans = met.select("d", "mark", F.struct((F.col("at") - F.col("l")).alias("low"), (F.col("at") + F.col("r")).alias("high")).alias("s"))
+    spans = spans.groupBy("d", "mark").agg(F.collect_set("s").alias("spans"))
+    joined = _packed(docs, "doc_id", "d", "mark").join(spans, ["d", "mark"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for text, ats in zip(byte_texts(batch.column(1)), batch.column(2)):
-                once = np.asarray(ats.values if ats.is_valid else [], np.int64)
+            for text, held in zip(batch.column(1), batch.column(2)):
+                text = unpack(text.as_py())
                 data, starts, ends = plan.units(text)
                 n = len(data) if starts is None else len(starts)
-                gone = _cover(text, plan, repeated.value, once, n)
-                spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1))
-                if starts is None:
-                    kept = data[~gone].tobytes()
+                turn = np.zeros(n + 1, np.int64)
+                if held.is_valid:
+                    np.add.at(turn, np.maximum(held.values.field("low").to_numpy(), 0), 1)
+                    np.add.at(turn, np.minimum(held.values.field("high").to_numpy(), n), -1)
+                gone = np.cumsum(turn[:n]) > 0
+                removed = int(np.count_nonzero(gone))
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(n > 0 and gone[0])
+                if not removed:
+                    kept = data
+                elif starts is None:
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 else:
-                    stay = ~gone
-                    kept = b" ".join(w for w, s in zip(text.split(), stay.tolist()) if s) if gone.any() else data.tobytes()
-                out.append((n, int(gone.sum()), spans, kept))
+                    kept = b" ".join(data[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist()))
+                out.append((n, removed, spans, kept))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())],

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.llm.common import documents
-from tidemill.llm.repeats import Windows, cut_repeats
+from tidemill.llm.repeats import Plan, cut_repeats
 
-#: Words of a window, of the seed grams within it (any repeat of 35 words shares a seed), and grams to a probe.
-LENGTH, SEED, PROBE = 35, 11, 8
+#: Words of a repeat, and of the grams that anchors are.
+LENGTH, GRAM = 35, 11
 
 
-def cut_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, probe: int = PROBE) -> DataFrame:
+def cut_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Remove every word covered by a window of `length` words that starts anywhere else too; see cut_repeats."""
-    return cut_repeats(docs, Windows("word", length, seed, probe))
+    return cut_repeats(docs, Plan("word", length, gram))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

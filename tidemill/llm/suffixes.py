@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.llm.common import documents
-from tidemill.llm.repeats import Windows, cut_repeats
+from tidemill.llm.repeats import Plan, cut_repeats
 
-#: Bytes of a repeat, of the seed grams within it, and grams to a probe.
-LENGTH, SEED, PROBE = 400, 300, 28
+#: Bytes of a repeat, and of the grams that anchors are.
+LENGTH, GRAM = 400, 300
 
 
-def cut_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, probe: int = PROBE) -> DataFrame:
+def cut_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too; see cut_repeats."""
-    return cut_repeats(docs, Windows("byte", length, seed, probe))
+    return cut_repeats(docs, Plan("byte", length, gram))
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
