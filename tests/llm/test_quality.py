@@ -38,7 +38,7 @@ def test_outliers_are_rejected(spark):
         if i % 30 == 0:
             words = [w + "$$$" for w in words]
         rows.append((i, " ".join(words), ("en", None)[i % 2], "s", ""))
-    rows += [(2000, None, "en", "s", ""), (2001, "", None, None, ""), (2002, "x " * 60, "en", "s", ""), (2003, " ".join(vocabulary[:200]), "xx", "rare", ""), (None, " ".join(vocabulary[:100]), "en", "s", "")]
+    rows += [(2000, None, "en", "s", ""), (2001, "", None, None, ""), (2002, "x " * 60, "en", "s", ""), (2003, " ".join(vocabulary[500:700]), "xx", "rare", ""), (None, " ".join(vocabulary[1500:1600]), "en", "s", "")]
     rows += [rows[1]]
     found = quality.judge(spark.createDataFrame(rows, COLUMNS)).collect()
     assert len(found) == len(rows)
@@ -52,3 +52,31 @@ def test_outliers_are_rejected(spark):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_estimate_equals_brute_force(spark):
+    """The least determinant over all subsets that hold the core share of a small group."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for group in ("a", "b", "c"):
+        x = rng.normal(0, 1, (12, 5)) @ rng.normal(0, 1, (5, 5))
+        x[:3] += 25
+        rows += [(group, v.tolist()) for v in x]
+        wide = np.diag(np.square(quality.FLOOR))
+        want[group] = min((np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) + wide)[1], s) for s in itertools.combinations(range(12), 9))
+        want[group] = x[list(want[group][1])].mean(axis=0)
+    found = quality.estimates(spark.createDataFrame(rows, "group string, x array<double>"), 3).collect()
+    assert len(found) == 3 and all(np.allclose(r["mean"], want[r["group"]]) for r in found)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(100, 300))), "en", f"s{i % 7}", "") for i in range(420)]
+    rows += [(1000 + i, " ".join(rng.choice(words) + "##" for _ in range(150)), "en", "tiny", "") for i in range(3)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert all(kept[i] for i in range(420)) and not any(kept[1000 + i] for i in range(3))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -15,10 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one where unset, as in tests."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a session of one process gets a temporary folder that goes with it; any other raises, since its
+    executors would each write to a folder of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tidemill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -27,7 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write as Parquet to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what written() wrote once nothing reads it any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context's cleaner remove the shuffle files of plans that are gone; it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemill.llm.common import written
+from tidemill.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        edges = written(small.select("e.a", F.col("e.m").alias("b")).filter("a <> b").distinct(), "links")
+        now = written(small.select("e.a", F.col("e.m").alias("b")).filter("a <> b").distinct(), "links")
+        discard(edges)
+        edges = now
         after = _state(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemill.llm.common import byte_texts, documents, written
+from tidemill.llm.common import byte_texts, discard, documents, written
 
 SYMBOLS = b"#*$%&|<>"
 #: Rows below this many words, or with over half of their words in repeated three-word windows, fail before any estimate.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of a group's rows that an estimate keeps, steps to concentrate it, and rows that a group must have of its own.
-CORE, STEPS, LEAST_ROWS = 0.75, 4, 200
+#: Share of a group's rows that an estimate keeps, and rows' worth that the estimate of the language (of all rows, for a
+#: language) counts in that of a group, so that small groups lean on it and large ones hardly do.
+CORE, LEAN = 0.75, 200.0
+#: The CORE quantile of a chi-square variable with five degrees of freedom.
+CHI_CORE = 6.6257
+#: Concentration ends when no determinant falls by this share any more, or after so many steps.
+FALL, STEPS = 1e-3, 40
 #: Up to so many groups, a row of some 400 bytes each, go to every task; more are joined by their keys.
 BROADCAST = 20_000
-#: Squared distance beyond which a row is rejected. With five near-normal statistics 99.9 % of clean rows stay below 20.5;
-#: texts are far longer-tailed than that, so the bound is set wide, at what no smooth distribution of text reaches.
-CUTOFF = 100.0
+#: A row is rejected beyond the upper fence of its group's distances (not squared), FENCE quartile ranges over the third
+#: quartile, but never below LEAST_CUTOFF, the 99.9 % point of a chi-square variable with five degrees of freedom.
+FENCE, LEAST_CUTOFF = 3.0, 20.5
 STATS = ("log_length", "word_size", "symbols", "dup_lines", "repeats")
-#: Least spread of each statistic, so that one that is constant in a group has no infinite weight.
-FLOOR = (0.25, 0.1, 0.02, 0.1, 0.2)
+#: Least spread of each statistic, so that one that is constant in a group has no infinite weight; length by itself is no fault.
+FLOOR = (1.0, 0.1, 0.02, 0.1, 0.2)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BASE = ", ".join(f"{name} bigint" for name in COUNTS)
@@ -89,40 +95,44 @@ def _distance(x: Column, mean: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _inverse(moments):
-    """Inverse of a group's covariance from its count, sums and sums of products, with the floors added."""
-    import pandas as pd
+def _estimated(prior: bool):
+    """A function from sums over core rows (count, sums, sums of products), and a prior (mean, cov), to mean, cov, inverse and log determinant."""
 
-    d, out = len(STATS), []
-    for m in moments:
-        n, s, p = m[0], np.array(m[1 : d + 1]), np.array(m[d + 1 :]).reshape(d, d)
-        cov = p / n - np.outer(s / n, s / n)
-        out.append(np.linalg.inv(cov + np.diag(np.square(FLOOR))).ravel())
-    return pd.Series(out)
+    @F.pandas_udf("mean array<double>, cov array<double>, inverse array<double>, logdet double")
+    def run(moments: pd.Series, means: pd.Series, covs: pd.Series) -> pd.DataFrame:
+        d, out = len(STATS), []
+        for m, mean0, cov0 in zip(moments, means, covs):
+            n, s, p = m[0], np.array(m[1 : d + 1]), np.array(m[d + 1 :]).reshape(d, d)
+            if prior:
+                mean0, cov0 = np.array(mean0), np.array(cov0).reshape(d, d)
+                n, s, p = n + LEAN, s + LEAN * mean0, p + LEAN * (cov0 + np.outer(mean0, mean0))
+            cov = p / n - np.outer(s / n, s / n)
+            wide = cov + np.diag(np.square(FLOOR))
+            out.append(((s / n).tolist(), cov.ravel().tolist(), np.linalg.inv(wide).ravel().tolist(), float(np.linalg.slogdet(wide)[1])))
+        return pd.DataFrame(out, columns=["mean", "cov", "inverse", "logdet"])
 
-
-def _estimate(rows: DataFrame) -> DataFrame:
-    """group, mean, inverse from columns group, x: sums that combine before the shuffle, one small row for each group."""
-    d = len(STATS)
-    parts = [F.count("*").cast("double")] + [F.sum(F.get("x", i)) for i in range(d)]
-    parts += [F.sum(F.get("x", i) * F.get("x", j)) for i in range(d) for j in range(d)]
-    found = rows.groupBy("group").agg(F.array(*parts).alias("m"))
-    mean = F.array(*[F.get("m", i + 1) / F.get("m", 0) for i in range(d)])
-    return found.select("group", mean.alias("mean"), _inverse("m").alias("inverse"))
+    return run
 
 
 def _sent(params: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(params) if groups <= BROADCAST else params
 
 
-def estimates(rows: DataFrame, groups: int) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group of rows (group, x): group, mean, inverse, scale.
+def _moments(rows: DataFrame, keys: list[str], priors: DataFrame | None, groups: int) -> DataFrame:
+    """mean, cov, inverse and logdet by the keys: sums that combine before the shuffle, one small row for each group."""
+    d = len(STATS)
+    parts = [F.count("*").cast("double")] + [F.sum(F.get("x", i)) for i in range(d)]
+    parts += [F.sum(F.get("x", i) * F.get("x", j)) for i in range(d) for j in range(d)]
+    found = rows.groupBy(*keys).agg(F.array(*parts).alias("m"))
+    if priors is None:
+        found = found.withColumns({"mean0": F.array().cast("array<double>"), "cov0": F.array().cast("array<double>")})
+    else:
+        found = found.join(_sent(priors.select("group", "mean0", "cov0"), groups), "group")
+    return found.select(*keys, _estimated(priors is not None)("m", "mean0", "cov0").alias("e")).select(*keys, "e.*")
 
-    Starts from medians and median deviations, then repeats concentration steps: distances under the estimate, the CORE
-    share of least distances, and the estimate anew from these. Every step is a sum over all rows of the group. Distances
-    are scaled down where their CORE quantile is above that of a chi-square variable (6.6257 with five statistics).
-    """
+
+def _spread(rows: DataFrame, groups: int) -> DataFrame:
+    """group, mean, inverse from medians and median deviations."""
     d = len(STATS)
     middle = rows.groupBy("group").agg(*[F.percentile_approx(F.get("x", i), 0.5, 1000).alias(f"m{i}") for i in range(d)])
     spread = rows.join(_sent(middle, groups), "group").groupBy("group").agg(
@@ -131,37 +141,78 @@ def estimates(rows: DataFrame, groups: int) -> DataFrame:
     )
     weight = [F.lit(1.0) / (F.col(f"s{i}") * F.col(f"s{i}") + FLOOR[i] ** 2) for i in range(d)]
     inverse = F.array(*[weight[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    now = written(spread.select("group", F.array(*[F.col(f"m{i}") for i in range(d)]).alias("mean"), inverse.alias("inverse")), "mcd")
+    return spread.select("group", F.array(*[F.col(f"m{i}") for i in range(d)]).alias("mean"), inverse.alias("inverse"))
+
+
+def estimates(rows: DataFrame, groups: int, priors: DataFrame | None = None) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each group of rows (group, x): group, mean, cov, inverse, root, scale, fence.
+
+    Concentration starts from medians and median deviations, from a tenth of the rows by a hash of their statistics, and
+    from the prior (group, mean0, cov0, inverse0, root0, fence0) where there is one: distances under the estimate, the CORE share
+    of least distances, the estimate anew from these and the prior, until no determinant falls by FALL; the start with the
+    least determinant is taken. Every step is a sum over all rows, for all groups and starts at once. Distances are scaled
+    down where their CORE quantile is above that of a chi-square variable. The quantile and the fence lean on the prior too.
+    """
+    some = rows.filter(F.pmod(F.xxhash64("x"), F.lit(10)) == 0)
+    starts = [_spread(rows, groups).withColumns({"start": F.lit(0)}), _moments(some, ["group"], priors, groups).select("group", "mean", "inverse", F.lit(1).alias("start"))]
+    if priors is not None:
+        starts.append(priors.select("group", F.col("mean0").alias("mean"), F.col("inverse0").alias("inverse"), F.lit(2).alias("start")))
+    now = starts[0]
+    for other in starts[1:]:
+        now = now.unionByName(other)
+    now = written(now.withColumns({"logdet": F.lit(None).cast("double")}), "mcd")
     for _ in range(STEPS):
-        far = rows.join(_sent(now, groups), "group").select("group", "x", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
-        edge = far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge"))
-        now = written(_estimate(far.join(_sent(edge, groups), "group").filter("far <= edge")), "mcd")
-    far = rows.join(_sent(now, groups), "group").select("group", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
-    edge = far.groupBy("group").agg(F.percentile_approx("far", CORE, 1000).alias("edge"))
-    return written(now.join(edge, "group").select("group", "mean", "inverse", (F.lit(6.6257) / F.greatest("edge", F.lit(6.6257))).alias("scale")), "mcd")
+        given = _sent(now.select("group", "start", "mean", "inverse"), groups)
+        far = rows.join(given, "group").select("group", "start", "x", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
+        edge = far.groupBy("group", "start").agg(F.percentile_approx("far", CORE, 10_000).alias("edge"))
+        core = far.join(_sent(edge, groups), ["group", "start"]).filter("far <= edge")
+        new = written(_moments(core, ["group", "start"], priors, groups), "mcd")
+        before = now.select("group", "start", F.col("logdet").alias("before"))
+        falls = new.join(before, ["group", "start"]).agg(F.max(F.coalesce(F.col("before") - F.col("logdet"), F.lit(1.0)))).first()[0]
+        discard(now)
+        now = new
+        if falls is None or falls < FALL:
+            break
+    best = now.groupBy("group").agg(F.min_by(F.struct("mean", "cov", "inverse"), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
+    far = rows.join(_sent(best, groups), "group").select("group", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
+    spots = far.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("far", CORE, 10_000).alias("edge"), F.percentile_approx("far", [0.25, 0.75], 10_000).alias("q"))
+    spots = spots.select("group", "n", F.sqrt("edge").alias("root"), F.sqrt(F.get("q", 0)).alias("low"), F.sqrt(F.get("q", 1)).alias("high"))
+    lean = lambda own, given: F.col(own) if priors is None else (F.col("n") * F.col(own) + LEAN * F.col(given)) / (F.col("n") + LEAN)
+    if priors is not None:
+        spots = spots.join(_sent(priors.select("group", "root0", "fence0"), groups), "group")
+    spots = spots.withColumns({"root": lean("root", "root0")})
+    spots = spots.withColumns({"scale": F.lit(CHI_CORE) / F.greatest(F.col("root") * F.col("root"), F.lit(CHI_CORE))})
+    spots = spots.withColumns({"fence": F.sqrt("scale") * (F.col("high") + FENCE * (F.col("high") - F.col("low")))})
+    fence = spots.select("group", "root", "scale", lean("fence", "fence0").alias("fence"))
+    return written(best.join(fence, "group"), "mcd")
 
 
 def _placed(base: DataFrame) -> DataFrame:
-    """Rows with base_failed, the name of their group and their statistics x."""
-    name = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e")))
-    return base.withColumns({"base_failed": failed(base)}).withColumns({"__name": name, "__x": _vector(base)})
+    """Rows with base_failed, the names of their language and group, and their statistics x."""
+    lang, source = F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e"))
+    names = {"__lang": lang, "__own": F.concat_ws("\x1f", lang, source), "__x": _vector(base)}
+    return base.withColumns({"base_failed": failed(base)}).withColumns(names)
 
 
 def _parameters(placed: DataFrame) -> DataFrame:
-    """__own, mean, inverse, scale: the estimate that the rows of each lang and source are judged by."""
-    fit = placed.filter("not base_failed")
-    sizes = fit.groupBy("__name").agg(F.count("*").alias("rows"))
-    chosen = sizes.select(F.col("__name").alias("__own"), F.when(F.col("rows") >= LEAST_ROWS, F.col("__name")).otherwise("\x1f\x1f").alias("group"))
-    chosen = written(chosen, "groups")
-    groups = chosen.count()
-    vectors = fit.join(_sent(chosen, groups), F.col("__name") == F.col("__own")).select("group", F.col("__x").alias("x"))
-    return _sent(chosen.join(_sent(estimates(vectors, groups), groups), "group").select("__own", "mean", "inverse", "scale"), groups)
+    """__own, mean, inverse, scale, cutoff: the estimate that the rows of each lang and source are judged by."""
+    fit = written(placed.filter("not base_failed").select("__lang", "__own", F.col("__x").alias("x")), "vectors")
+    names = written(fit.select("__lang", "__own").distinct(), "groups")
+    groups = names.count()
+    prior = lambda e, parent: e.select(F.col("group").alias(parent), *[F.col(c).alias(f"{c}0") for c in ("mean", "cov", "inverse", "root", "fence")])
+    pool = estimates(fit.select(F.lit("").alias("group"), "x"), 1)
+    langs = names.select(F.lit("").alias("__all"), F.col("__lang").alias("group")).distinct()
+    by_lang = estimates(fit.select(F.col("__lang").alias("group"), "x"), groups, langs.join(_sent(prior(pool, "__all"), 1), "__all"))
+    own = names.select("__lang", F.col("__own").alias("group"))
+    found = estimates(fit.select(F.col("__own").alias("group"), "x"), groups, own.join(_sent(prior(by_lang, "__lang"), groups), "__lang"))
+    cutoff = F.greatest(F.col("fence") * F.col("fence"), F.lit(LEAST_CUTOFF))
+    return _sent(found.select(F.col("group").alias("__own"), "mean", "inverse", "scale", cutoff.alias("cutoff")), groups)
 
 
 def _judged(placed: DataFrame, params: DataFrame) -> DataFrame:
-    joined = placed.join(params, placed["__name"] == params["__own"], "left")
+    joined = placed.join(params.withColumnRenamed("__own", "__key"), F.col("__own") == F.col("__key"), "left")
     distance = F.when(~F.col("base_failed"), _distance(F.col("__x"), F.col("mean"), F.col("inverse")) * F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))
     return joined.withColumns({"distance": distance}).withColumns({"kept": kept})
 
 
@@ -169,9 +220,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and distance of every row of `docs` (doc_id, text, lang, source).
 
     Rows that the base rules fail take no part in the estimates. The others are grouped by lang and source, null being a
-    value of its own; groups of under LEAST_ROWS rows are judged together as one. A row whose scaled squared distance is
-    over CUTOFF is rejected. Null and empty texts have no words and fail. Repeated rows count and come out once each.
-    An empty table gives an empty result; other columns are ignored.
+    value of its own; a group's estimate counts that of its language as LEAN rows, and that one the estimate of all rows, so
+    there is no size at which the rule changes. A row whose scaled squared distance is over its group's cutoff is rejected.
+    Null and empty texts have no words and fail. Repeated rows count and come out once each. An empty table gives an empty
+    result; other columns are ignored.
     """
     placed = _placed(written(measured(docs, "doc_id", "lang", "source"), "measured"))
     return _judged(placed, _parameters(placed)).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
