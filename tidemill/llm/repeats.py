@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidemill.llm.common import Bitmap, Rolling, byte_texts, joined_words, mixed, written
+from tidemill.llm.common import Bitmap, Rolling, byte_texts, discard, joined_words, mixed, release, written
 
 #: Rows of a record batch that is built in numpy.
 ROWS = 1 << 16
@@ -364,18 +364,19 @@ def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
     return kept.mapInArrow(run, f"c1 bigint, c2 bigint, l int, r int, g1 bigint, g2 bigint, {MEMBER.split(', ', 2)[2]}")
 
 
-def _stretches(docs: DataFrame, plan: Plan, classes: DataFrame) -> DataFrame:
-    """c1, c2, l, r: the repeated stretches of each class, as units before its anchor and from it on."""
+def _stretches(docs: DataFrame, plan: Plan, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """c1, c2, l, r: the repeated stretches of each class, as units before its anchor and from it on; and the tables it reads."""
     whole = classes.filter("copies > 1").select("c1", "c2", F.lit(plan.reach).alias("l"), F.lit(plan.length).alias("r"))
-    found = written(_extended(_members(docs, plan, classes), plan, ["anchor"]), "extended")
-    every = found.filter("l is not null").select("c1", "c2", "l", "r")
-    while not (rest := found.filter("l is null")).isEmpty():
+    found = [written(_extended(_members(docs, plan, classes), plan, ["anchor"]), "extended")]
+    while not (rest := found[-1].filter("l is null")).isEmpty():
         groups = rest.groupBy("g1", "g2").agg(F.count("*").alias("classes"), F.max_by(F.struct("c1", "c2"), F.struct("copies", "c1", "c2")).alias("h")).filter("classes > 1")
         lead = ((F.col("c1") == F.col("h.c1")) & (F.col("c2") == F.col("h.c2"))).alias("lead")
         members = rest.join(groups, ["g1", "g2"]).select("g1", "g2", "classes", lead, *[f.split()[0] for f in MEMBER.split(", ")])
-        found = written(_extended(members, plan, ["g1", "g2"]), "extended")
-        every = every.unionByName(found.filter("l is not null").select("c1", "c2", "l", "r"))
-    return whole.unionByName(every).groupBy("c1", "c2", "l").agg(F.max("r").alias("r"))
+        found.append(written(_extended(members, plan, ["g1", "g2"]), "extended"))
+    every = whole
+    for table in found:
+        every = every.unionByName(table.filter("l is not null").select("c1", "c2", "l", "r"))
+    return every.groupBy("c1", "c2", "l").agg(F.max("r").alias("r")), found
 
 
 def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -393,12 +394,16 @@ def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
         places = _occurrences(docs, plan, spark.sparkContext.broadcast(Bitmap.of(anchors, "anchor", count)))
     else:
         places = _occurrences(docs, plan, None).join(anchors, "anchor", "left_semi")
-    places = written(places, "places")
-    classes = places.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d", "mark", "at")).alias("place"))
-    stretches = _stretches(docs, plan, written(classes, "classes"))
-    met = places.join(stretches, ["c1", "c2"])
-    spans = met.select("d", "mark", F.struct((F.col("at") - F.col("l")).alias("low"), (F.col("at") + F.col("r")).alias("high")).alias("s"))
-    spans = spans.groupBy("d", "mark").agg(F.collect_set("s").alias("spans"))
+    places = written(places.withColumns({"at": F.col("at").cast("int")}), "places")
+    discard(anchors)
+    classes = written(places.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d", "mark", "at")).alias("place")), "classes")
+    release(spark)
+    stretches, tables = _stretches(docs, plan, classes)
+    met = places.select("c1", "c2", "d", "mark", "at").join(stretches, ["c1", "c2"])
+    span = F.shiftleft(F.greatest(F.col("at") - F.col("l"), F.lit(0)).cast("bigint"), 32).bitwiseOR((F.col("at") + F.col("r")).cast("bigint"))  # first unit, and the one after the last
+    spans = written(met.select("d", "mark", span.alias("s")).groupBy("d", "mark").agg(F.collect_set("s").alias("spans")), "spans")
+    discard(places, classes, *tables)
+    release(spark)
     joined = _packed(docs, "doc_id", "d", "mark").join(spans, ["d", "mark"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
@@ -411,8 +416,8 @@ def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
                 n = len(data) if starts is None else len(starts)
                 turn = np.zeros(n + 1, np.int64)
                 if held.is_valid:
-                    np.add.at(turn, np.maximum(held.values.field("low").to_numpy(), 0), 1)
-                    np.add.at(turn, np.minimum(held.values.field("high").to_numpy(), n), -1)
+                    ends_of = held.values.to_numpy()
+                    turn += np.bincount(ends_of >> 32, minlength=n + 1) - np.bincount(np.minimum(ends_of & 0xFFFFFFFF, n), minlength=n + 1)
                 gone = np.cumsum(turn[:n]) > 0
                 removed = int(np.count_nonzero(gone))
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(n > 0 and gone[0])
