@@ -82,7 +82,7 @@ def test_an_item_leaked_in_a_third_of_the_rows_is_found(spark):
     found = decontaminate.find_leaks(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"))
     want = {i: [3] if i % 3 == 0 and i < 600 or 1000 <= i < 2000 else [i - 2000] if i >= 2000 else [] for i, _, _ in rows}
     assert {r.doc_id: list(r.items) for r in found.collect()} == want
-    terms = decontaminate.prepared(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(3, " ".join(items[3]))], "item_id bigint, text string"))[1]
+    _, terms, _ = next(decontaminate.blocks(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(3, " ".join(items[3]))], "item_id bigint, text string")))
     assert all(terms.idf[terms.place[w.encode()]] > 0 for w in items[3])
 
 
@@ -92,5 +92,59 @@ def test_rows_of_one_id_stay_apart_over_several_blocks(spark, monkeypatch):
     docs, benchmark = spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(list(items.items()), "item_id bigint, text string")
     plain = lambda: sorted((str(r.doc_id), r.n_passages, list(r.items), r.score) for r in decontaminate.find_leaks(docs, benchmark).collect())
     whole = plain()
-    monkeypatch.setattr(decontaminate, "BLOCK", 2)
-    assert plain() == whole and len(whole) == 5
+    for size in (100, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK", size)
+        assert plain() == whole and len(whole) == 5
+
+
+def test_ids_of_text_and_shared_dimensions(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda n: [f"v{rng.randrange(900)}" for _ in range(n)]
+    items = {f"q{i}": some(rng.randrange(12, 40)) for i in range(25)}
+    rows = [(i, " ".join(some(30) + w + some(30)), "") for i, w in enumerate(items.values())]
+    docs, benchmark = spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id string, text string")
+    whole = {r.doc_id: list(r.items) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert all(q in whole[i] for i, q in enumerate(items))
+    monkeypatch.setattr(decontaminate, "TERMS", 64)
+    monkeypatch.setattr(decontaminate, "COSINES", 50)
+    assert {r.doc_id: list(r.items) for r in decontaminate.find_leaks(docs, benchmark).collect()} == whole
+
+
+def reworded(words, rate, rng, other):
+    out = []
+    for w in words:
+        draw = rng.random()
+        if draw < rate / 3:
+            continue
+        out += [other()] if draw < 2 * rate / 3 else [w, other()] if draw < rate else [w]
+    return out
+
+
+def test_whole_result_equals_brute_force_and_recall_of_paraphrases(spark):
+    rng = random.Random(11)
+    draw = lambda: f"v{int(2500 * rng.random() ** 2)}"
+    items = {i: [draw() for _ in range(rng.randrange(12, 60))] for i in range(60)}
+    rows, planted = [], {}
+    for rate in (0.0, 0.1, 0.2, 0.3):
+        for i in items:
+            rows.append((len(rows), " ".join([draw() for _ in range(rng.randrange(90))] + reworded(items[i], rate, rng, draw) + [draw() for _ in range(rng.randrange(90))]), ""))
+            planted.setdefault(rate, []).append((len(rows) - 1, i))
+    found = {r.doc_id: set(r.items) for r in decontaminate.find_leaks(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")).collect()}
+
+    held = {}
+    for _, text, _ in rows:  # the passages that hold each word
+        words = text.split()
+        for start in range(0, max(1, len(words) - 32), 32):
+            for w in set(words[start : start + 64]):
+                held[w] = held.get(w, 0) + 1
+    for doc, text, _ in rows:
+        words, want = text.split(), set()
+        for start in range(0, max(1, len(words) - 32), 32):
+            near = words[max(0, start - 32) : start + 96]
+            for i, item in items.items():
+                answers = sorted(set(item), key=lambda w: (held.get(w, 0), w))[:4]
+                if not set(near).isdisjoint(answers) and brute(item, near) >= 0.6 * len(item):
+                    want.add(i)
+        assert found[doc] == want
+    recall = {rate: sum(i in found[d] for d, i in pairs) / len(pairs) for rate, pairs in planted.items()}
+    assert recall[0.0] == recall[0.1] == 1 and recall[0.2] >= 0.95 and recall[0.3] >= 0.9, recall

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemill.llm.common import documents
 
@@ -23,8 +24,9 @@ LEAST = 0.01
 COSINE, LCS = 0.45, 0.6
 #: Benchmark passages under SHORT words must be met whole. Of its ANSWER rarest words, which stand for its answer, one must be there.
 SHORT, ANSWER = 10, 4
-#: Benchmark passages that a scan of the documents is held against at once.
-BLOCK = 50_000
+#: Characters of benchmark text that a scan of the documents is held against at once: about so much is on the driver, and some
+#: thirty times that in a task. Passages folded, and cosines computed, at once.
+BLOCK, FOLDED, COSINES = 1 << 22, 1 << 14, 1 << 22
 
 #: Bytes that stand in words; all others become blanks.
 _KEPT = bytes(b if chr(b).isalnum() or b >= 0x80 else 32 for b in range(256))
@@ -55,7 +57,7 @@ def common_subsequence(masks: dict, size: int, words: list) -> int:
 
 @dataclass
 class Terms:
-    """Benchmark words, the dimension of each, its inverse document frequency over all passages, and how many hold each word's."""
+    """Benchmark words and the dimension of each, inverse document frequencies by dimension, and the passages that hold each word."""
 
     place: dict[bytes, int]
     idf: np.ndarray
@@ -211,8 +213,8 @@ def latent_basis(benchmark: DataFrame, terms: Terms, rank: int) -> np.ndarray:
     return basis.astype(np.float32)
 
 
-def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms: Terms, basis: np.ndarray, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `through` and n_passages, items and score of every row, held against some items (id and passages)."""
+def matches(docs: DataFrame, items: list[tuple], kind: T.DataType, terms: Terms, basis: np.ndarray, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `through` and n_passages, items and score of every row, held against some items (id, of type `kind`, and passages)."""
     spark = docs.sparkSession
     cuts = [(item, c) for item, cs in items for c in cs]
     own = [terms.dims(c) for _, c in cuts]
@@ -245,11 +247,14 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
                 used = np.unique(p)
                 at = np.searchsorted(used, p)
                 found: list[dict] = [{} for _ in rows]
-                for low in range(0, len(used), 1 << 14):
-                    high = min(len(used), low + (1 << 14))
+                for low in range(0, len(used), FOLDED):
+                    high = min(len(used), low + FOLDED)
                     s = slice(*np.searchsorted(at, [low, high]))
-                    near, c = np.nonzero(folded(at[s] - low, d[s], w[s], high - low, basis) @ index.T >= COSINE)
-                    pairs.append(used[low + near] * answers.cuts + c)
+                    vectors = folded(at[s] - low, d[s], w[s], high - low, basis)
+                    step = max(1, COSINES // (high - low))
+                    for from_ in range(0, len(index), step):
+                        near, c = np.nonzero(vectors @ index[from_ : from_ + step].T >= COSINE)
+                        pairs.append(used[low + near] * answers.cuts + c + from_)
                 last = None
                 for key in np.unique(np.concatenate(pairs)).tolist():
                     passage, c = divmod(key, answers.cuts)
@@ -268,40 +273,38 @@ def matches(docs: DataFrame, items: list[tuple[int, list[list[bytes]]]], terms:
                 hits += [sorted(f) for f in found]
                 best += [max(f.values(), default=0.0) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n_passages, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.float64())],
+                [*batch.columns[:-1], pa.array(n_passages, pa.int64()), pa.array(hits, pa.list_(to_arrow_type(kind))), pa.array(best, pa.float64())],
                 [*through, "n_passages", "items", "score"],
             )
 
     kept = docs.select(*through, F.col("text").alias("__text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{shape}, n_passages bigint, items array<bigint>, score double")
+    return kept.mapInArrow(run, f"{shape}, n_passages bigint, items array<{kind.simpleString()}>, score double")
 
 
-def _blocks(rows: list) -> list[list]:
-    out, held = [[]], 0
-    for row in rows:
-        if held + len(row[1]) > BLOCK:
-            out.append([])
-            held = 0
-        out[-1].append(row)
-        held += len(row[1])
-    return out
+def blocks(docs: DataFrame, benchmark: DataFrame):
+    """For each block of the benchmark: items with their passages, terms and latent basis; one block is on the driver at a time."""
+    known = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK))
+    for i in range(n):
+        block = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct()
+        rows = sorted((r.item_id, cut(words)) for r in block.toLocalIterator() if (words := words_of(r.text)))
+        if rows or i == n - 1:
+            yield rows, *prepared(docs, block, rows)
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame):
-    """Items with their passages, terms and latent basis. The benchmark's words come to the driver, the documents' don't."""
-    rows = [(r.item_id, cut(words)) for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct().toLocalIterator() if (words := words_of(r.text))]
-    rows.sort(key=lambda r: r[0])
+def prepared(docs: DataFrame, block: DataFrame, rows: list) -> tuple[Terms, np.ndarray]:
+    """Terms and latent basis of the items in a block. Words beyond TERMS share dimensions; their counts stay their own."""
     vocabulary = sorted({w for _, cs in rows for c in cs for w in c})
+    counts = frequencies(docs, {w: i for i, w in enumerate(vocabulary)}, max(1, len(vocabulary)))
     size = max(1, min(len(vocabulary), TERMS))
     place = {w: (i if len(vocabulary) <= TERMS else zlib.crc32(w) % TERMS) for i, w in enumerate(vocabulary)}
-    counts = frequencies(docs, place, size)
-    n = max(1, counts[-1])
-    idf = np.maximum(np.log((1 + n) / (1 + counts[:-1])), LEAST)
-    terms = Terms(place, idf, {w: int(counts[d]) for w, d in place.items()})
+    held = np.zeros(size, np.int64)
+    np.add.at(held, np.fromiter(place.values(), np.int64, len(place)), counts[: len(place)])
+    terms = Terms(place, np.maximum(np.log((1 + max(1, counts[-1])) / (1 + held)), LEAST), dict(zip(vocabulary, counts.tolist())))
     rank = min(RANK + SPARE, sum(len(cs) for _, cs in rows) + SPARE, size)
-    basis = latent_basis(benchmark.filter("item_id is not null and text is not null"), terms, rank) if rows else np.zeros((size, 1), np.float32)
-    return rows, terms, basis
+    return terms, latent_basis(block, terms, rank) if rows else np.zeros((size, 1), np.float32)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -310,17 +313,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The latent space is that of the benchmark's passages, under frequencies over all passages of the documents, in which
     every term has a weight; every passage of every document that has an answer (one of some benchmark passage's rarest
     words) in it or its context is folded into it and held against every benchmark passage by cosine. Beside these, every
-    such passage is a candidate for the benchmark passages of its answers, so none is lost whatever the rank or weights. A candidate counts if the longest common subsequence with the
-    passage and its context has LCS of the benchmark passage's words, in order, and the answer is there. Null and empty texts have one empty passage and no items. Repeated
-    rows come out once each. Items with a null id or text or without words are left out; repeated items count once.
+    such passage is a candidate for the benchmark passages of its answers, so none is lost whatever the rank or weights. A
+    candidate counts if the longest common subsequence with the passage and its context has LCS of the benchmark passage's
+    words, in order, and the answer is there. A benchmark of more than BLOCK characters is worked on in blocks, each with a
+    space of its own, two scans of the documents a block; hits depend on words and their counts alone, so blocks change no row.
+    Null and empty texts have one empty passage and no items. Repeated rows come out once each. Items with a null id or text
+    or without words are left out; repeated items count once; ids may be of any ordered type.
     """
-    rows, terms, basis = prepared(docs, benchmark)
-    blocks = _blocks(rows)
-    if len(blocks) == 1:
-        return matches(docs, blocks[0], terms, basis)
-    found = docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("__items"), F.lit(0.0).alias("__score"))
-    for block in blocks:
-        held = matches(found, block, terms, basis, ("doc_id", "text", "__items", "__score"))
+    kind = benchmark.schema["item_id"].dataType
+    found = docs.select("doc_id", "text", F.array().cast(T.ArrayType(kind)).alias("__items"), F.lit(0.0).alias("__score"))
+    for rows, terms, basis in blocks(docs, benchmark):
+        held = matches(found, rows, kind, terms, basis, ("doc_id", "text", "__items", "__score"))
         merged = F.array_sort(F.array_union("__items", "items")).alias("__items"), F.greatest("__score", "score").alias("__score")
         found = held.select("doc_id", "text", "n_passages", *merged)
     return found.select("doc_id", "n_passages", F.col("__items").alias("items"), F.col("__score").alias("score"))
@@ -328,10 +331,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark item by find_leaks, with their columns as they were."""
-    rows, terms, basis = prepared(docs, benchmark)
-    names = tuple(docs.columns)
-    for block in _blocks(rows):
-        docs = matches(docs, block, terms, basis, names).filter(F.size("items") == 0).select(*names)
+    names, whole = tuple(docs.columns), docs
+    for rows, terms, basis in blocks(whole, benchmark):
+        docs = matches(docs, rows, benchmark.schema["item_id"].dataType, terms, basis, names).filter(F.size("items") == 0).select(*names)
     return docs
 
 
