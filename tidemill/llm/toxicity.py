@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -14,16 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.llm.common import documents, written
 
-#: Look-alikes and digit substitutions, and the letter each is folded to (fixed values).
+#: Look-alike letters after lower-casing and decomposition, and digit substitutions, with the letter each is folded to (fixed
+#: values, a choice from the public table of confusable characters).
 LETTERS = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ԁ": "d", "һ": "h", "ј": "j", "ӏ": "l", "ո": "n",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ι": "i", "κ": "k", "ε": "e",
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ҽ": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t",
+    "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y",
+    "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ք": "p", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ʏ": "y", "ɪ": "i", "ʀ": "r", "ʙ": "b", "ʜ": "h", "ʟ": "l", "ɴ": "n", "ᴀ": "a", "ᴄ": "c",
+    "ᴅ": "d", "ᴇ": "e", "ᴊ": "j", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ø": "o", "ł": "l", "đ": "d",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which a term is no insult.
-EXCEPTIONS = ("trash can", "trash bin", "take out the trash", "clown fish", "pond scum", "stupid mistake")
 #: At most so many labelled rows are learned from, two thirds for the lexicon and one for the curve; the terms kept.
 SAMPLE, TERMS = 12_000, 4_000
+#: Exception phrases kept; each is a word with a term in it and the word before or after, in so many clean rows and surely clean.
+PHRASES = 1_000
 #: A term is a word or the first so many letters of one, in so many toxic rows, of so much log-odds at a one-sided 95 %.
 PREFIX, SUPPORT, LEAST = (5, 6, 7, 8), 4, 1.0
 THRESHOLD = 0.3
@@ -49,7 +54,7 @@ class Lexicon:
     """Weights of terms; ' word ' is a whole word and ' begin' the first letters of one."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, ...] = ()
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -76,7 +81,7 @@ class Lexicon:
         for low, high in excused:
             for start in [s for s in best if low <= s < high]:
                 del best[start]
-        return sum(best.values()), max(best.values(), default=0.0), max(0, folded.count(" ") - 1)
+        return sum(best.values()), max(best.values(), default=0.0), folded.count(" ") - 1 if len(folded) > 2 else 0
 
     @staticmethod
     def features(total, most, words) -> np.ndarray:
@@ -94,29 +99,55 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
-    """term, toxic, clean: the rows of each label that hold it."""
+def _counted(rows: DataFrame, found_in) -> DataFrame:
+    """term, toxic, clean: the rows of each label in whose folded text `found_in` finds a term."""
 
     def run(batches):
         for batch in batches:
             counts = (Counter(), Counter())
             for text, toxic in zip(batch.column(0), batch.column(1)):
-                own = set()
-                for word in set(fold(text.as_py() or "").split()):
-                    own.add(f" {word} ")
-                    own.update(f" {word[:n]}" for n in PREFIX if len(word) >= n)
-                counts[toxic.as_py()].update(own)
+                counts[toxic.as_py()].update(found_in(fold(text.as_py() or "").split()))
             terms = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts[::-1]]], ["term", "toxic", "clean"])
 
     found = rows.select("text", "toxic").mapInArrow(run, "term string, toxic bigint, clean bigint")
-    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= SUPPORT)
+    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def terms_in(words: list[str]) -> set[str]:
+    """Every word, and the first letters of every longer one."""
+    out = set()
+    for word in set(words):
+        out.add(f" {word} ")
+        out.update(f" {word[:n]}" for n in PREFIX if len(word) >= n)
+    return out
+
+
+def phrases_in(weights) -> Callable[[list[str]], set[str]]:
+    """A function that finds the pairs of neighbouring words of which one holds a term."""
+
+    def hit(word: str) -> bool:
+        return f" {word} " in weights or any(f" {word[:n]}" in weights for n in PREFIX if len(word) >= n)
+
+    def found_in(words: list[str]) -> set[str]:
+        known = {w: hit(w) for w in set(words)}
+        return {f"{a} {b}" for a, b in zip(words, words[1:]) if known[a] or known[b]}
+
+    return found_in
+
+
+def sure_odds(one: str, other: str, n1: int, n0: int):
+    """Log-odds of a row of one label holding a term against the other's, less 1.645 standard errors."""
+    odds = F.log((F.col(one) + 0.5) / (n1 + 1)) - F.log((F.col(other) + 0.5) / (n0 + 1))
+    return odds - 1.645 * F.sqrt(1 / (F.col(one) + 0.5) + 1 / (F.col(other) + 0.5))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Lexicon:
     """Weights and score curve from up to `sample` labelled rows that are not held out, picked by a hash of doc_id.
 
-    What reaches the driver is bounded: `sample` ids, `terms` weights, and three numbers for a third of the sample.
+    Terms are weighed by how surely they tell toxic rows; pairs of words with a term in them that as surely tell clean rows
+    become exceptions. What reaches the driver is bounded: `terms` weights, PHRASES exceptions, and three numbers for a
+    third of the sample.
     Without both labels in the sample, every score is the share of toxic rows (0 without any).
     """
     rows = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -130,10 +161,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     logit = float(np.log((base + 1e-6) / (1 - base + 1e-6)))
     if not n1 or not n0:
         return Lexicon({}, curve=(logit, 0.0, 0.0, 0.0))
-    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    sure = odds - 1.645 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = _term_counts(known.filter("part > 0")).select("term", sure.alias("sure")).filter(F.col("sure") >= LEAST).orderBy(F.desc("sure"), "term").limit(terms)
-    lexicon = Lexicon({r.term: float(r.sure) for r in best.collect()})
+    best = _counted(known.filter("part > 0"), terms_in).filter(F.col("toxic") >= SUPPORT).select("term", sure_odds("toxic", "clean", n1, n0).alias("sure"))
+    lexicon = Lexicon({r.term: float(r.sure) for r in best.filter(F.col("sure") >= LEAST).orderBy(F.desc("sure"), "term").limit(terms).collect()})
+    # A phrase that is in clean rows as surely as a term is in toxic ones excuses the terms in it.
+    phrases = _counted(known.filter("part > 0"), phrases_in(frozenset(lexicon.weights))).filter(F.col("clean") >= SUPPORT).select("term", sure_odds("clean", "toxic", n0, n1).alias("sure"))
+    lexicon.exceptions = tuple(r.term for r in phrases.filter(F.col("sure") >= LEAST).orderBy(F.desc("sure"), "term").limit(PHRASES).collect())
 
     rest = measured(known.filter("part = 0").select("doc_id", "text", "toxic"), lexicon, "toxic").collect()
     if len({r.toxic for r in rest}) < 2:
