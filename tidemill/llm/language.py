@@ -12,11 +12,11 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm.common import documents, mixed
+from tidemill.llm.common import documents, mixed, written
 
 VOCABULARY = "piece_bpe_32k.model"
-#: About so many rows of each language are learned from, picked by a hash of doc_id, and so many of their words.
-PER_LANGUAGE, WORDS = 1_500, 120_000
+#: About so many rows of each language are learned from, picked by a hash of doc_id.
+PER_LANGUAGE = 1_500
 #: Steps of expectation and maximisation, what each piece counts besides, and the probability of an unknown letter.
 STEPS, PRIOR, UNKNOWN = 3, 0.05, 1e-8
 #: Letters of a stretch: longer words are scored stretch by stretch. Letters of the longest piece used.
@@ -135,19 +135,8 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUAGE, most: int = WORDS) -> Model:
-    """Piece probabilities of each language by expectation and maximisation over all segmentations.
-
-    Learns from rows that are not held out and have a language: about `per_language` of each, and the `most` most frequent
-    words of these, which is all that reaches the driver. No such rows: no languages, and every text is und.
-    """
-    path = path or public_tokenizers.path(VOCABULARY)
-    rows = docs.filter("lang is not null and text is not null").filter(~held_out()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(counts)
-    grid = 1 << 30
-    cut = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(grid * min(1, per_language / n)))) for k, n in counts.items()], F.lit(0))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < cut)
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word, n: how often each word stands in each language."""
 
     def run(batches):
         from collections import Counter, defaultdict
@@ -160,22 +149,56 @@ def learn(docs: DataFrame, path: str | None = None, per_language: int = PER_LANG
             columns = list(zip(*flat)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    found = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
-    top = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(most).toArrow()
-    vocabulary = pieces(path)
-    size = len(vocabulary)
-    words = list(dict.fromkeys(top["word"].to_pylist()))
-    place, column = {w: i for i, w in enumerate(words)}, {k: i for i, k in enumerate(languages)}
-    weight = np.zeros((len(words), len(languages)))
-    for k, w, n in zip(top["lang"].to_pylist(), top["word"].to_pylist(), top["n"].to_pylist()):
-        weight[place[w], column[k]] = n
-    chance = np.vstack((np.full((size, len(languages)), 1 / size), np.zeros((1, len(languages)))))
+    found = rows.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
+    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _expected(words: DataFrame, model: Model) -> np.ndarray:
+    """How often each piece is used in each language, summed over the partitions of a table of lang, word, n.
+
+    A language's words are weighed under its own probabilities alone, so work and memory don't grow with the languages.
+    """
+    place = {k: i for i, k in enumerate(model.languages)}
+
+    def run(batches):
+        lattice = Lattice(pieces(model.path))
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for lang in set(langs):
+                at = [i for i, k in enumerate(langs) if k == lang]
+                weight = batch.column(2).take(pa.array(at)).to_numpy().astype(float)[:, None]
+                used = lattice.expected(batch.column(1).take(pa.array(at)).to_pylist(), weight, model.chance[:, [place[lang]]])[:-1, 0]
+                hit = np.flatnonzero(used)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(used[hit])], ["lang", "piece", "used"])
+
+    out = np.zeros((len(pieces(model.path)), len(model.languages)))
+    found = words.select("lang", "word", "n").mapInArrow(run, "lang string, piece int, used double")
+    found = found.groupBy("lang", "piece").agg(F.sum("used").alias("used")).toArrow()  # a row for each piece and language at most
+    out[found["piece"].to_numpy(), [place[k] for k in found["lang"].to_pylist()]] = found["used"].to_numpy()
+    return out
+
+
+def learn(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUAGE) -> Model:
+    """Piece probabilities of each language by expectation and maximisation over all segmentations.
+
+    Learns from rows that are not held out and have a language: about `per_language` of each, all their words. Words stay in
+    the shared folder; sums for each piece and language are all that reaches the driver. No such rows: no languages, and
+    every text is und.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+    rows = docs.filter("lang is not null and text is not null").filter(~held_out()).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts)
+    grid = 1 << 30
+    cut = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(grid * min(1, per_language / n)))) for k, n in counts.items()], F.lit(0))
+    size = len(pieces(path))
+    model = Model(languages, np.vstack((np.full((size, len(languages)), 1 / size), np.zeros((1, len(languages))))), path)
     if languages:
-        lattice = Lattice(vocabulary)
+        words = written(_word_counts(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < cut)), "words")
         for _ in range(STEPS):
-            used = lattice.expected(words, weight, chance)[:-1] + PRIOR
-            chance[:-1] = used / used.sum(axis=0)
-    return Model(languages, chance, path)
+            used = _expected(words, model) + PRIOR
+            model = Model(languages, np.vstack((used / used.sum(axis=0), np.zeros((1, len(languages))))), path)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
