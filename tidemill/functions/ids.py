@@ -43,11 +43,47 @@ def object_path(sha: Column) -> Column:
     return F.when(sha.rlike("^[a-f0-9]{64}$"), F.concat_ws("/", F.lit("objects"), F.substring(sha, 1, 2), sha))
 
 
+#: White space as Unicode has it, with the four separators below U+0020.
+BLANK = r"[\s\p{Z}\x1C-\x1F\x85]"
+
+
+def json_string(value: Column) -> Column:
+    """A JSON string as canonical records hold it: quotes, backslashes and characters below U+0020 escaped, all others as they are."""
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    escaped = out
+    for code in range(32):
+        mark = F.decode(F.unhex(F.lit(f"{code:02x}")), "UTF-8")
+        escaped = F.replace(escaped, mark, F.lit("\\" + short[code] if code in short else f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(value.rlike(r"[\x00-\x1F]"), escaped).otherwise(out), F.lit('"'))
+
+
+def json_array(items: Column, quoted: bool = True) -> Column:
+    """A JSON array of strings (or of values that are JSON already)."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, json_string) if quoted else items, ", "), F.lit("]"))
+
+
+def json_object(**fields: Column) -> Column:
+    """A JSON object of values that are JSON already, its keys in order."""
+    parts = [x for i, k in enumerate(sorted(fields)) for x in (F.lit(f'{", " if i else "{"}"{k}": '), fields[k])]
+    return F.concat(*parts, F.lit("}"))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+
+
 def notice_key(title: Column, html: Column, shas: Column) -> Column:
     """Digest of the canonical record of a notice: title, body without blanks between tags, sorted distinct assets."""
-    quoted = lambda c: F.to_json(F.array(c))  # noqa: E731  a JSON string in brackets
-    inner = lambda c: F.substring(quoted(c), F.lit(2), F.length(quoted(c)) - 2)
-    edge = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-    assets = F.array_join(F.transform(F.array_sort(F.array_distinct(shas)), lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ", ")
-    body = F.regexp_replace(F.regexp_replace(html, edge, ""), r">\s+<", "><")
-    return F.sha2(F.concat(F.lit('{"assets": ['), assets, F.lit('], "html": '), inner(body), F.lit(', "title": '), inner(F.regexp_replace(title, edge, "")), F.lit("}")), 256)
+    body = F.regexp_replace(strip(html), rf">{BLANK}+<", "><")
+    return F.sha2(json_object(assets=json_array(F.array_sort(F.array_distinct(shas))), html=json_string(body), title=json_string(strip(title))), 256)
+
+
+def source_stamp(sha: Column, flags: Column, parser: Column, version: str, boundary: Column) -> Column:
+    """Digest of what a file's classification rests on: content, flags, parser, rules, boundary. An override holds while it is equal."""
+    return F.sha2(json_object(boundary=F.to_json(boundary), flags=F.to_json(flags), parser=json_string(F.coalesce(parser, F.lit(""))), sha=json_string(sha), version=json_string(F.lit(version))), 256)
+
+
+def record_fingerprint(files: Column, version: str) -> Column:
+    """Digest of a notice's classified files, in order of their ids, and the rules' version."""
+    return F.sha2(json_object(files=F.to_json(F.array_sort(files)), version=json_string(F.lit(version))), 256)

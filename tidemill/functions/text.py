@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Personal data: resident numbers, mobile numbers, mail addresses (fixed values, letters spelt out for every engine).
-_L = r"[\p{L}\p{N}_]"
-PII_NUMBERS = rf"(^|[^\p{{L}}\p{{N}}_])(?:\d{{6}}\s*-\s*[1-8]\d{{6}}|01[016789][- .]?\d{{3,4}}[- .]?\d{{4}})($|[^\p{{L}}\p{{N}}_])"
+#: Personal data: resident numbers, mobile numbers, mail addresses (fixed values, letters, digits and blanks spelt out for every engine).
+_W = r"[\p{L}\p{N}_]"
+_S = r"[\s\p{Z}\x1C-\x1F\x85]"
+PII_NUMBER = rf"(?:\p{{Nd}}{{6}}{_S}*-{_S}*[1-8]\p{{Nd}}{{6}}|01[016789][- .]?\p{{Nd}}{{3,4}}[- .]?\p{{Nd}}{{4}})"
 PII_MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+PII = rf"(?<!{_W}){PII_NUMBER}(?!{_W})|{PII_MAIL}"
+#: What any personal number or address holds; a text without it needs no pattern.
+PII_HINT = r"@|\p{Nd}{6}|01[016789]"
 PII_MARK = "[개인정보 검토 필요]"
 #: Dates, amounts, heads, fees, deadlines and consents (fixed values).
 RISK = r"20\d{2}|\d{1,2}월|\d{1,2}일|[\d,]+\s*원|\d+\s*명|무료|유료|제외|마감|기한|동의|서명"
+#: Marks of a page that asks for a login (fixed values).
+LOGIN = r"""(?i)fm_xb_login|loginpost\.php|name=["']?(?:mem_id|userid)["']?|input[^>]+type=["']?password"""
 FORM_NAME = r"신청서|동의서|양식|서식|참고자료|신청양식"
 FILE_TOKEN = r"""(?i)[^\s/\\:*?"<>|]{1,120}\.(?:pdf|hwpx?|docx?|xlsx?|pptx?|png|jpe?g|webp|zip|txt)"""
 FILE_END = r"(?i)\.(?:pdf|hwpx?|docx|png|jpe?g|webp)(?:$|[?&#\s(])"
@@ -18,11 +24,23 @@ DATE = r"(20\d{2})[.\-/]\s*(\d{1,2})[.\-/]\s*(\d{1,2})"
 
 
 def has_pii(text: Column) -> Column:
-    return text.rlike(PII_NUMBERS) | text.rlike(PII_MAIL)
+    return F.when(text.rlike(PII_HINT), text.rlike(PII)).when(text.isNotNull(), False)
 
 
 def mask_pii(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, PII_MAIL, PII_MARK), PII_NUMBERS, f"$1{PII_MARK.replace('$', '')}$2")
+    """The text with each number or address replaced by the mark; neighbours that share one blank are both replaced."""
+    return F.when(text.rlike(PII_HINT), F.regexp_replace(text, PII, PII_MARK)).otherwise(text)
+
+
+def login_required(html: Column) -> Column:
+    return html.rlike(LOGIN)
+
+
+def is_decorative(text: Column) -> Column:
+    """Whether a paragraph is ornament: without a letter or digit, or a school's name five times or more."""
+    bare = F.regexp_replace(text, rf"{_S}+", "")
+    name = r"^([가-힣]{2,30}학교)(?:\1|[·ㆍ])*$"
+    return ~bare.rlike(_W) | (bare.rlike(name) & (F.size(F.split(bare, "학교")) > 5))
 
 
 def is_risky(text: Column) -> Column:

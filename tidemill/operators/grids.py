@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemill.functions import ids
+
 #: Words that mark the layout of a table by its labels, tried in this order (fixed values).
 LAYOUTS = (
     ("동의|서명|성명|보호자", "read_only_form"), ("학년|학급", "grade_cards"), ("시간|시각", "timeline"),
@@ -57,25 +59,39 @@ def _joined(condition: Column, order: list[str]) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.coalesce(s["text"], F.lit(""))), " ")
 
 
+def _flag(cells: DataFrame, name: str) -> Column:
+    return F.coalesce(F.bool_or(name), F.lit(False)) if name in cells.columns else F.lit(False)
+
+
+def _numbers(*columns: str) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(", ", *columns), F.lit("]"))
+
+
 def shapes(cells: DataFrame) -> DataFrame:
-    """rows, cols, merges, labels (texts of the first row and column), spans and anchors of each table, whose cells are bounded."""
+    """rows, cols, merges, labels (texts of the first row and column), spans and anchors of each table, whose cells are bounded.
+
+    Cells may carry nested and uncertain, which mark their whole table; without these columns no table is either.
+    """
     label = (F.col("row") == 0) | (F.col("col") == 0)
-    spans = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "rowspan", "colspan"))), lambda s: F.concat_ws(",", s["row"], s["col"], s["rowspan"], s["colspan"])), ";")
+    order = ["row", "col", "rowspan", "colspan"]
+    spans = F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda s: F.concat(F.lit("["), F.concat_ws(", ", *[s[c] for c in order]), F.lit("]")))
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), 1, SPANS), lambda s: F.coalesce(s["text"], F.lit("")))
     out = cells.groupBy("table_id").agg(
         F.max(F.col("row") + F.col("rowspan")).cast("bigint").alias("rows"), F.max(F.col("col") + F.col("colspan")).cast("bigint").alias("cols"),
         F.sum(F.when((F.col("rowspan") > 1) | (F.col("colspan") > 1), 1).otherwise(0)).cast("bigint").alias("merges"),
-        _joined(label, ["row", "col"]).alias("labels"), _joined(label | F.col("header"), ["row", "col"]).alias("headers"), _joined(F.lit(True), ["row", "col"]).alias("all_text"), spans.alias("spans"),
+        _joined(label, ["row", "col"]).alias("labels"), _joined(label | F.col("header"), ["row", "col"]).alias("headers"),
+        F.array_join(first, " ").alias("first_text"), spans.alias("spans"), _flag(cells, "nested").alias("nested"), _flag(cells, "uncertain").alias("uncertain"),
     )
-    return out.withColumn("anchors", words(F.col("labels"), ANCHORS))
+    return out.withColumn("anchors", found(F.col("labels"), ANCHORS))
 
 
-def words(text: Column, pattern: str) -> Column:
-    """The distinct matches of a pattern, sorted and comma-joined."""
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), ",")
+def found(text: Column, pattern: str) -> Column:
+    """The distinct matches of a pattern, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
 
 def layout(merged: Column, labels: Column, cols: Column) -> Column:
-    """How a table is best shown: by its labels, but as it is if cells are merged."""
+    """How a table is best shown: by its labels, but as it is if cells are merged or the table is nested or uncertain."""
     (form, a), (grade, b), (time, c), (key, d) = LAYOUTS
     return (
         F.when(merged, "scroll_table").when(labels.rlike(form), a).when(labels.rlike(grade), b)
@@ -84,37 +100,56 @@ def layout(merged: Column, labels: Column, cols: Column) -> Column:
 
 
 def patterns(cells: DataFrame) -> DataFrame:
-    """table_id, layout and pattern, a digest of the exact structure."""
-    found = shapes(cells)
-    pattern = F.sha2(F.concat_ws("|", "rows", "cols", "anchors", "spans"), 256)
-    return found.select("table_id", layout(F.col("merges") > 0, F.col("labels"), F.col("cols")).alias("layout"), pattern.alias("pattern"))
+    """table_id, layout and pattern, a digest of the canonical record of the exact structure."""
+    shape = shapes(cells)
+    plain = (F.col("merges") > 0) | F.col("nested") | F.col("uncertain")
+    record = ids.json_object(
+        rows=F.col("rows").cast("string"), cols=F.col("cols").cast("string"), anchors=ids.json_array(F.col("anchors")),
+        spans=ids.json_array(F.col("spans"), False), uncertain=F.col("uncertain").cast("string"))
+    return shape.select("table_id", layout(plain, F.col("labels"), F.col("cols")).alias("layout"), F.sha2(record, 256).alias("pattern"))
 
 
 def families(cells: DataFrame) -> DataFrame:
-    """table_id and family, a digest of what the table means: header words freed of names and numbers, roles, units, shape."""
-    found = shapes(cells)
+    """table_id and family, a digest of what the table means: header words freed of names and numbers, roles, units, shape.
+
+    Units are those of the first 200 cells; of the header words the first twenty in order count.
+    """
+    shape = shapes(cells)
     freed = F.filter(F.split(F.regexp_replace("headers", FREED, " "), r"\s+"), lambda w: F.length(w) > 1)
-    words_ = F.array_join(F.slice(F.array_sort(F.array_distinct(freed)), 1, 20), ",")
-    shape = F.concat_ws(",", F.least("rows", F.lit(50)), F.least("cols", F.lit(20)), F.least("merges", F.lit(50)))
-    key = F.concat_ws("|", words_, words(F.col("headers"), ROLES), words(F.col("all_text"), UNITS), shape)
-    return found.select("table_id", F.substring(F.sha2(key, 256), 1, 24).alias("family"))
+    size = F.concat(F.lit("["), F.concat_ws(", ", F.least("rows", F.lit(50)), F.least("cols", F.lit(20)), F.least("merges", F.lit(50))), F.lit("]"))
+    record = ids.json_object(
+        headers=ids.json_array(F.slice(F.array_sort(F.array_distinct(freed)), 1, 20)), roles=ids.json_array(found(F.col("headers"), ROLES)),
+        units=ids.json_array(found(F.col("first_text"), UNITS)), shape=size, nested=F.col("nested").cast("string"))
+    return shape.select("table_id", F.substring(F.sha2(record, 256), 1, 24).alias("family"))
 
 
 def structure_keys(cells: DataFrame) -> DataFrame:
-    """table_id and structure_key, of header labels without digits and blanks and of merges; empty where no label has a letter."""
-    head = F.max(F.when(F.col("header"), 1).otherwise(0)).over(Window.partitionBy("table_id"))
-    first = F.min("row").over(Window.partitionBy("table_id"))
-    rows_with = F.max(F.when(F.col("header"), 1).otherwise(0)).over(Window.partitionBy("table_id", "row"))
-    marked = cells.withColumn("is_head", F.when(head == 1, rows_with == 1).otherwise(F.col("row") == first))
-    label = F.regexp_replace(F.coalesce("text", F.lit("")), r"\d|\s", "")
-    ordered = lambda cond, *cols: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("row", "col", *cols)))), lambda s: F.concat_ws(",", *[s[c] for c in ("col", "rowspan", "colspan")]) if "rowspan" in cols else s["label"]), ";")
+    """table_id and structure_key, of header labels without digits and blanks and of merges; empty where no label has a letter.
+
+    Header rows are those with a header cell, else the first row. The key is a digest of a canonical record, so labels that
+    hold any separator stay apart.
+    """
+    rows = cells.groupBy("table_id", "row").agg(F.bool_or("header").alias("head"))
+    heads = rows.groupBy("table_id").agg(F.collect_set(F.when(F.col("head"), F.col("row"))).alias("marked"), F.min("row").alias("first"))
+    heads = heads.select("table_id", F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.array("first")).alias("heads"))
+    is_head = F.array_contains("heads", F.col("row"))
+    marked = cells.join(heads, "table_id").withColumns({"is_head": is_head, "label": F.regexp_replace(F.coalesce("text", F.lit("")), r"\p{Nd}|[\s\p{Z}\x1C-\x1F\x85]", "")})
     merged = (F.col("rowspan") > 1) | (F.col("colspan") > 1)
-    out = marked.withColumn("label", label).groupBy("table_id").agg(
-        ordered(F.col("is_head"), "label").alias("labels"), F.max(F.col("col") + F.col("colspan")).alias("cols"),
-        ordered(~F.col("is_head") & merged, "rowspan", "colspan").alias("body"), ordered(F.col("is_head"), "rowspan", "colspan").alias("heads"),
+    ordered = lambda cond, value: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("row", "col", value.alias("v"))))), lambda s: s["v"])
+    span = _numbers("col", "rowspan", "colspan")
+    out = marked.groupBy("table_id").agg(
+        ordered(F.col("is_head"), F.col("label")).alias("labels"), F.max(F.col("col") + F.col("colspan")).cast("string").alias("cols"),
+        ordered(~F.col("is_head") & merged, span).alias("body"), ordered(F.col("is_head"), span).alias("spans"),
     )
-    key = F.substring(F.sha2(F.concat_ws("|", "labels", "cols", "body", "heads"), 256), 1, 24)
-    return out.select("table_id", F.when(F.col("labels").rlike("[A-Za-z가-힣]"), key).otherwise("").alias("structure_key"))
+    record = ids.json_object(headers=ids.json_array(F.col("labels")), cols=F.col("cols"), body_merges=ids.json_array(F.col("body"), False), header_spans=ids.json_array(F.col("spans"), False))
+    key = F.substring(F.sha2(record, 256), 1, 24)
+    return out.select("table_id", F.when(F.exists("labels", lambda x: x.rlike("[A-Za-z가-힣]")), key).otherwise("").alias("structure_key"))
+
+
+def counted(cases: DataFrame, key: str) -> DataFrame:
+    """examples and approved of each pattern or family, the most frequent first."""
+    approved = F.sum(F.col("approved").cast("bigint")).alias("approved")
+    return cases.groupBy(key).agg(F.count("*").alias("examples"), approved).orderBy(F.desc("examples"), key)
 
 
 #: Header words of the twice repeated triple (fixed values).

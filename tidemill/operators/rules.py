@@ -13,6 +13,7 @@ BLANK, LEAST_BLANKS, LEAST_FIELDS, LEAST_CHARS, HEADING_CHARS = "___", 2, 3, 10,
 READABLE = ("html", "pdf", "hwp", "hwpx", "docx")
 #: Ends of a line, and white space at either end of a text, as Unicode has them.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+FULL = r"[^\s\p{Z}\x1C-\x1F\x85]"
 EDGE = r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$"
 
 
@@ -26,17 +27,18 @@ def _any(text: Column, cues) -> Column:
 def content_kind(filename: Column, text: Column, form=FORM_CUES, reference=REFERENCE_CUES, guide=GUIDE_CUES, fields=FIELD_WORDS, blank=BLANK) -> Column:
     """guide, form, reference, mixed or unknown by cues of the name, short form headings, blanks and field words."""
     filename, text = F.coalesce(filename, F.lit("")), F.coalesce(text, F.lit(""))
-    bare = F.regexp_replace(text, EDGE, "")
-    lines = F.transform(F.split(text, LINE_END), lambda x: F.regexp_replace(x, EDGE, ""))
-    heading = F.exists(lines, lambda x: (F.length(x) <= HEADING_CHARS) & _any(x, form))
+    # Lines are looked at only where the text holds a cue at all, and trimmed only if they hold one themselves.
+    lines = F.split(text, LINE_END)
+    heading = _any(text, form) & F.exists(lines, lambda x: _any(x, form) & (F.length(F.regexp_replace(x, EDGE, "")) <= HEADING_CHARS))
+    filled_out = text.rlike(rf"(?s){FULL}.{{{LEAST_CHARS - 2},}}{FULL}")  # LEAST_CHARS characters from the first to the last that is no blank
     blanks = (F.length(text) - F.length(F.replace(text, F.lit(blank), F.lit("")))) / len(blank)
     named = sum((text.contains(w).cast("int") for w in fields[1:]), text.contains(fields[0]).cast("int"))
     filled = (blanks >= LEAST_BLANKS) | (named >= LEAST_FIELDS)
-    says_guide = _any(bare, guide)
+    says_guide = _any(text, guide)
     return (
         F.when(_any(filename, form) & _any(filename, guide), "mixed").when(says_guide & heading & filled, "mixed")
         .when(_any(filename, form), "form").when(_any(filename, reference), "reference")
-        .when(heading & filled & ~says_guide, "form").when(F.length(bare) < LEAST_CHARS, "unknown").otherwise("guide")
+        .when(heading & filled & ~says_guide, "form").when(~filled_out, "unknown").otherwise("guide")
     )
 
 

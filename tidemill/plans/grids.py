@@ -38,8 +38,9 @@ cells AS (SELECT table_id, row, 0 AS col, CASE WHEN table_id % 9 = 0 AND row = 0
   UNION ALL SELECT table_id, row, 1, 1, l_returnflag FROM li),
 shapes AS (SELECT table_id, max(row + rowspan) AS rows, max(col + 1) AS cols, count(*) FILTER (WHERE rowspan > 1) AS merges,
   string_agg(text, ' ' ORDER BY row, col) FILTER (WHERE row = 0 OR col = 0) AS labels, string_agg(text, ' ' ORDER BY row, col) AS all_text,
-  string_agg(row || ',' || col || ',' || rowspan || ',1', ';' ORDER BY row, col) AS spans FROM cells GROUP BY table_id)"""
-FOUND = "array_to_string(list_sort(list_distinct(regexp_extract_all({0}, '{1}'))), ',')"
+  string_agg('[' || row || ', ' || col || ', ' || rowspan || ', 1]', ', ' ORDER BY row, col) AS spans FROM cells GROUP BY table_id)"""
+FOUND = """'[' || array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all({0}, '{1}'))), lambda x: '"' || x || '"'), ', ') || ']'"""
+PATTERN = f"""sha256('{{"anchors": ' || {FOUND.format('labels', grids.ANCHORS)} || ', "cols": ' || cols || ', "rows": ' || rows || ', "spans": [' || spans || '], "uncertain": false}}')"""
 LAYOUT = """CASE WHEN merges > 0 THEN 'scroll_table' WHEN regexp_matches(labels, '동의|서명|성명|보호자') THEN 'read_only_form' WHEN regexp_matches(labels, '학년|학급') THEN 'grade_cards'
   WHEN regexp_matches(labels, '시간|시각') AND cols <= 4 THEN 'timeline' WHEN cols = 2 AND regexp_matches(labels, '일시|장소|대상|비용|준비물|기한|문의') THEN 'key_value_cards' ELSE 'scroll_table' END"""
 
@@ -70,11 +71,13 @@ def table_pattern(spark, sf_dir):
 
 
 def pattern_counts(spark, sf_dir):
-    return grids.patterns(tables(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("examples"), F.max("layout").alias("layout"))
+    cases = grids.patterns(tables(spark, sf_dir)).withColumn("approved", F.col("table_id") % 5 == 0)
+    return grids.counted(cases, "pattern")
 
 
 def family_counts(spark, sf_dir):
-    return grids.families(tables(spark, sf_dir)).groupBy("family").agg(F.count("*").alias("examples"), F.min("table_id").alias("first"))
+    cases = grids.families(tables(spark, sf_dir)).withColumn("approved", F.col("table_id") % 5 == 0)
+    return grids.counted(cases, "family")
 
 
 def structure_key(spark, sf_dir):
@@ -100,16 +103,16 @@ SELECT *, squares > places AS overlap, squares = places AND places = rows * cols
     "grid_overlap": (grid_overlap, f"WITH {LINES} SELECT table_id, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, count(*) AS n FROM squares GROUP BY ALL HAVING count(*) > 1"),
     "grid_last_cell_wins": (grid_last_cell_wins, f"WITH {LINES} SELECT table_id, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, arg_max(text, (l_suppkey, col, text)) AS text FROM squares GROUP BY table_id, r, c"),
     "table_layout": (table_layout, f"WITH {TABLES} SELECT {LAYOUT} AS layout, count(*) AS n FROM shapes GROUP BY 1"),
-    "table_pattern": (table_pattern, f"WITH {TABLES} SELECT table_id, {LAYOUT} AS layout, sha256(concat_ws('|', rows, cols, {FOUND.format('labels', grids.ANCHORS)}, spans)) AS pattern FROM shapes"),
-    "pattern_counts": (pattern_counts, f"WITH {TABLES} SELECT sha256(concat_ws('|', rows, cols, {FOUND.format('labels', grids.ANCHORS)}, spans)) AS pattern, count(*) AS examples, max({LAYOUT}) AS layout FROM shapes GROUP BY 1"),
-    "family_counts": (family_counts, f"""WITH {TABLES}, f AS (SELECT table_id, sha256(concat_ws('|',
-  array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(labels, '{grids.FREED}', ' ', 'g'), '\\s+'), lambda w: length(w) > 1))), 1, 20), ','),
-  {FOUND.format('labels', grids.ROLES)}, {FOUND.format('all_text', grids.UNITS)}, least(rows, 50) || ',' || least(cols, 20) || ',' || least(merges, 50)))[1:24] AS family FROM shapes)
-SELECT family, count(*) AS examples, min(table_id) AS first FROM f GROUP BY family"""),
+    "table_pattern": (table_pattern, f"WITH {TABLES} SELECT table_id, {LAYOUT} AS layout, {PATTERN} AS pattern FROM shapes"),
+    "pattern_counts": (pattern_counts, f"WITH {TABLES} SELECT {PATTERN} AS pattern, count(*) AS examples, count(*) FILTER (WHERE table_id % 5 = 0) AS approved FROM shapes GROUP BY 1 ORDER BY examples DESC, pattern"),
+    "family_counts": (family_counts, f"""WITH {TABLES}, f AS (SELECT table_id, sha256('{{"headers": [' ||
+  array_to_string(list_transform(list_slice(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(labels, '{grids.FREED}', ' ', 'g'), '\\s+'), lambda w: length(w) > 1))), 1, 20), lambda w: '"' || w || '"'), ', ') ||
+  '], "nested": false, "roles": ' || {FOUND.format('labels', grids.ROLES)} || ', "shape": [' || least(rows, 50) || ', ' || least(cols, 20) || ', ' || least(merges, 50) || '], "units": ' || {FOUND.format('all_text', grids.UNITS)} || '}}')[1:24] AS family FROM shapes)
+SELECT family, count(*) AS examples, count(*) FILTER (WHERE table_id % 5 = 0) AS approved FROM f GROUP BY family ORDER BY examples DESC, family"""),
     "structure_key": (structure_key, f"""WITH {TABLES}, k AS (SELECT table_id,
-  string_agg(regexp_replace(text, '[0-9]|\\s', '', 'g'), ';' ORDER BY row, col) FILTER (WHERE row = 0) AS labels, max(col + 1) AS cols,
-  coalesce(string_agg(col || ',' || rowspan || ',1', ';' ORDER BY row, col) FILTER (WHERE row > 0 AND rowspan > 1), '') AS body,
-  string_agg(col || ',' || rowspan || ',1', ';' ORDER BY row, col) FILTER (WHERE row = 0) AS heads FROM cells GROUP BY table_id)
-SELECT table_id, CASE WHEN regexp_matches(labels, '[A-Za-z가-힣]') THEN sha256(concat_ws('|', labels, cols, body, heads))[1:24] ELSE '' END AS structure_key FROM k"""),
+  string_agg('"' || regexp_replace(text, '[0-9]|\\s', '', 'g') || '"', ', ' ORDER BY row, col) FILTER (WHERE row = 0) AS labels, max(col + 1) AS cols,
+  coalesce(string_agg('[' || col || ', ' || rowspan || ', 1]', ', ' ORDER BY row, col) FILTER (WHERE row > 0 AND rowspan > 1), '') AS body,
+  string_agg('[' || col || ', ' || rowspan || ', 1]', ', ' ORDER BY row, col) FILTER (WHERE row = 0) AS heads FROM cells GROUP BY table_id)
+SELECT table_id, CASE WHEN regexp_matches(labels, '[A-Za-z가-힣]') THEN sha256('{{"body_merges": [' || body || '], "cols": ' || cols || ', "header_spans": [' || heads || '], "headers": [' || labels || ']}}')[1:24] ELSE '' END AS structure_key FROM k"""),
     "repeated_columns": (repeated_columns, "SELECT p_partkey // 20 AS table_id, p_partkey % 20 + 1 AS number, p_brand AS name, p_type AS place FROM part WHERE (p_partkey // 20) % 4 <> 3"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemill.functions import ids, text
 from tidemill.operators import queue, rules
 from tidemill.plans.accounting import SPLIT
+from tidemill.plans.text import EDGE, NUMBERS
 from tidemill.session import table
 from tidemill.streaming.queue import sessions, usage
 
@@ -34,7 +35,7 @@ f0 AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || (doc_id % 7) AS
   CASE WHEN doc_id % 10 < 6 THEN 'html' WHEN doc_id % 10 < 8 THEN 'hwp' WHEN doc_id % 10 = 8 THEN 'image' ELSE 'zip' END AS kind,
   CASE WHEN doc_id % 17 = 0 THEN 'missing' WHEN doc_id % 19 = 0 THEN 'parse_error' ELSE 'extracted' END AS status,
   doc_id % 23 <> 0 AS parser_current, doc_id % 29 = 0 AS incomplete,
-  coalesce(regexp_matches(text, '{text.PII_NUMBERS}') OR regexp_matches(text, '{text.PII_MAIL}'), false) AS privacy_flag,
+  coalesce(regexp_matches(text, '(^|{EDGE}){NUMBERS}($|{EDGE})') OR regexp_matches(text, '{text.PII_MAIL}'), false) AS privacy_flag,
   {SPLIT.format('source')} = 'eval' AS evaluation, coalesce(toxic, 0) = 1 AS rights_denied FROM base),
 f1 AS (SELECT *, contains(filename, 'Ation') AS nform, contains(filename, 'src7') AS nref, contains(filename, 'ing') AS nguide, contains(trim(text, ' \t\n\r'), 'ing') AS g,
   len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) <= 15 AND contains(x, 'Ation'))) > 0 AS heading,
@@ -188,15 +189,30 @@ def listing(spark, sf_dir):
     return notice_use(spark, sf_dir).filter("use = 'held'").orderBy(F.desc("files"), "notice_id").offset(10).limit(50)
 
 
-def job_fold(spark, sf_dir):
+def _jobs(spark, sf_dir):
     """Users' events as jobs' events; views are claims, purchases finishes, errors failures, signups enqueues."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "fail").otherwise("heartbeat")
-    return queue.fold(e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"))).select("job", "status", F.col("attempts").cast("bigint").alias("attempts"))
+    return queue.fold(e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind")))
+
+
+def job_fold(spark, sf_dir):
+    return _jobs(spark, sf_dir).select("job", "status", F.col("attempts").cast("bigint").alias("attempts"))
 
 
 def ready_jobs(spark, sf_dir):
-    return job_fold(spark, sf_dir).filter("status = 'pending'").orderBy("attempts", "job").limit(20)
+    return queue.ready(_jobs(spark, sf_dir), F.lit("2024-01-20 00:00:00").cast("timestamp"), 20).select("job", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+#: The log walked event by event.
+JOBS = """RECURSIVE o AS (SELECT user_id AS job, ts, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'heartbeat' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT DISTINCT user_id AS job, 0::BIGINT AS n, 'none' AS status, 0::BIGINT AS attempts, TIMESTAMP '1970-01-01' AS since, false AS failed FROM events
+  UNION ALL SELECT job, n, CASE WHEN takes THEN CASE kind WHEN 'enqueue' THEN 'pending' WHEN 'claim' THEN 'running' WHEN 'finish' THEN 'done' ELSE CASE WHEN attempts >= 5 THEN 'error' ELSE 'pending' END END ELSE now END,
+    CASE WHEN takes AND kind = 'enqueue' THEN 0 WHEN takes AND kind = 'claim' THEN attempts + 1 ELSE attempts END, CASE WHEN takes THEN ts ELSE since END, CASE WHEN takes THEN kind = 'fail' ELSE failed END
+  FROM (SELECT *, CASE kind WHEN 'enqueue' THEN now IN ('none', 'done', 'error') WHEN 'claim' THEN now = 'pending' AND NOT (failed AND ts < since + INTERVAL 30 MINUTE) WHEN 'finish' THEN now = 'running' WHEN 'fail' THEN now = 'running' ELSE false END AS takes
+    FROM (SELECT o.job, o.n, o.ts, o.kind, w.attempts, w.since, w.failed, CASE WHEN w.status = 'running' AND o.ts >= w.since + INTERVAL 30 MINUTE THEN 'pending' ELSE w.status END AS now FROM w JOIN o ON o.job = w.job AND o.n = w.n + 1))),
+l AS (SELECT job, arg_max(status, n) AS status, arg_max(attempts, n) AS attempts, arg_max(since, n) AS since, arg_max(failed, n) AS failed FROM w GROUP BY job)"""
 
 
 def user_sessions(spark, sf_dir):
@@ -246,8 +262,8 @@ r AS (SELECT k, arg_max(p_type, (p_retailprice, notice_id)) AS suggested, arg_ma
 SELECT notice_id, suggested, origin FROM b JOIN r USING (k) WHERE notice_id <> origin"""),
     "corpus_stats": (corpus_stats, f"WITH {FILES}, {NOTICE} SELECT 'file' AS facet, use AS value, count(*) AS n FROM classified GROUP BY use UNION ALL SELECT 'notice', use, count(*) FROM notices GROUP BY use"),
     "listing": (listing, f"WITH {FILES}, {NOTICE} SELECT notice_id, use, files FROM notices WHERE use = 'held' ORDER BY files DESC, notice_id LIMIT 50 OFFSET 10"),
-    "job_fold": (job_fold, None),
-    "ready_jobs": (ready_jobs, None),
+    "job_fold": (job_fold, f"WITH {JOBS} SELECT job, status, attempts FROM l"),
+    "ready_jobs": (ready_jobs, f"WITH {JOBS} SELECT job, attempts FROM l WHERE status = 'pending' AND (NOT failed OR since + INTERVAL 30 MINUTE <= TIMESTAMP '2024-01-20') ORDER BY job LIMIT 20"),
     "user_sessions": (user_sessions, """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, s DESC ROWS UNBOUNDED PRECEDING) AS i FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(min(ts)) % 1000000 = 0 THEN '' ELSE rtrim(strftime(min(ts), '.%f'), '0') END AS start, count(*) AS events FROM n GROUP BY user_id, i"""),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidemill.functions import text, urls
 from tidemill.session import table
 
-MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
-NUMBERS = text.PII_NUMBERS
+#: The oracle's engine has no look-around: edges are kept as groups, and a second pass meets numbers that shared an edge.
+EDGE = r"[^\p{L}\p{N}_]"
+NUMBERS = r"(?:\p{Nd}{6}[\s\p{Z}]*-[\s\p{Z}]*[1-8]\p{Nd}{6}|01[016789][- .]?\p{Nd}{3,4}[- .]?\p{Nd}{4})"
+ONCE = f"regexp_replace(@, '(^|{EDGE}){NUMBERS}($|{EDGE})', '\\1{text.PII_MARK}\\2', 'g')"
 
 
 def pii_flag(spark, sf_dir):
@@ -67,12 +69,13 @@ def html_escaped(spark, sf_dir):
 
 def login_gate(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.lower("html").rlike("login|password|sign in").alias("gated"))
+    form = F.when(F.col("page_id") % 3 == 0, '<INPUT name=x type="password">').when(F.col("page_id") % 3 == 1, "<p>login, password</p>").otherwise("")
+    return pages.select("page_id", text.login_required(F.concat("html", form)).alias("gated"))
 
 
 PLANS = {
-    "pii_flag": (pii_flag, f"SELECT doc_id, coalesce(regexp_matches(text, '{NUMBERS}') OR regexp_matches(text, '{MAIL}'), false) AS privacy_flag FROM documents"),
-    "pii_mask": (pii_mask, f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{MAIL}', '{text.PII_MARK}', 'g'), '{NUMBERS}', '\\1{text.PII_MARK}\\2', 'g')) AS masked FROM documents"),
+    "pii_flag": (pii_flag, f"SELECT doc_id, coalesce(regexp_matches(text, '(^|{EDGE}){NUMBERS}($|{EDGE})') OR regexp_matches(text, '{text.PII_MAIL}'), false) AS privacy_flag FROM documents"),
+    "pii_mask": (pii_mask, f"SELECT doc_id, sha256(regexp_replace({ONCE.replace('@', ONCE.replace('@', 'text'))}, '{text.PII_MAIL}', '{text.PII_MARK}', 'g')) AS masked FROM documents"),
     "risk_flag": (risk_flag, f"SELECT doc_id, regexp_matches(text, '{text.RISK}') AS risk FROM documents"),
     "date_extract": (date_extract, "SELECT o_orderkey, replace(strftime(o_orderdate, '%Y-%m-%d'), '199', '201') AS day FROM orders"),
     "attachment_names": (attachment_names, """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '.PDF' WHEN p_partkey % 2 = 0 THEN p_partkey || '.hwpx'
@@ -86,5 +89,5 @@ SELECT page_id, s || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END ||
     "search_cases": (search_cases, "SELECT doc_id, lang FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the and') ORDER BY doc_id LIMIT 20"),
     "default_roles": (default_roles, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'attachment' ELSE 'convert' END AS role FROM part"),
     "html_escape": (html_escaped, """SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages"""),
-    "login_gate": (login_gate, "SELECT page_id, regexp_matches(lower(html), 'login|password|sign in') AS gated FROM pages"),
+    "login_gate": (login_gate, """SELECT page_id, page_id % 3 = 0 OR regexp_matches(lower(html), 'fm_xb_login|loginpost.php|name=["'']?(mem_id|userid)["'']?|input[^>]+type=["'']?password') AS gated FROM pages"""),
 }

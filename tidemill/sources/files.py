@@ -103,7 +103,7 @@ def extract(files: DataFrame) -> DataFrame:
 def cells(extracted: DataFrame, key: str) -> DataFrame:
     """The cells of all tables as rows for operators.grids; table_id joins the key and the table's place."""
     tables = extracted.select(key, F.posexplode("tables").alias("i", "t"))
-    return tables.select(F.concat_ws(":", F.col(key).cast("string"), "i").alias("table_id"), F.explode("t.cells").alias("c")).select("table_id", "c.*")
+    return tables.select(F.concat_ws(":", F.col(key).cast("string"), "i").alias("table_id"), "t.nested", F.explode("t.cells").alias("c")).select("table_id", "c.*", "nested")
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def parse(html: str) -> dict:
             rows, cols = max((c["row"] + c["rowspan"] for c in cells), default=0), max((c["col"] + c["colspan"] for c in cells), default=0)
             if len(reader.tables) > MOST_TABLES or rows > MOST_ROWS or cols > MOST_COLS or len(cells) > MOST_CELLS:
                 raise ValueError("table too large")
-            tables.append({"rows": rows, "cols": cols, "nested": table.nested or table.inside, "cells": cells})
+            tables.append({"rows": rows, "cols": cols, "nested": table.inside, "cells": cells})
     except ValueError as error:
         return {"status": "parse_error", "error": str(error), "paragraphs": [], "tables": [], "links": []}
     links = [{"href": x["href"], "onclick": x["onclick"], "label": " ".join(" ".join([*x["label"], x["title"]]).split())} for x in reader.links]
