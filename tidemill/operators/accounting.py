@@ -22,11 +22,19 @@ def capped(rows: DataFrame, school: list[str], office: list[str], order: str, ca
     return per.withColumn("__n", F.row_number().over(Window.partitionBy(*office).orderBy(order))).filter(F.col("__n") <= goal).drop("__n")
 
 
-def budget(requests: DataFrame, day: str, order: str, amount: str, cap: int) -> DataFrame:
-    """spent before each request of a day and whether the request is still within the cap; the day is the unit of state."""
-    before = Window.partitionBy(day).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = requests.withColumn("spent_before", F.coalesce(F.sum(amount).over(before), F.lit(0)).cast("bigint"))
-    return out.withColumn("granted", F.col("spent_before") + F.col(amount) <= cap)
+def budget(requests: DataFrame, day: str, order: str, amount: str, cap: int, part: Column | None = None) -> DataFrame:
+    """spent before each request of a day and whether the request is still within the cap.
+
+    `part` is a coarse, never falling function of the order (an hour, say): sums of whole parts are added up first, so that a
+    day's requests need not stand in one task.
+    """
+    cut = requests.withColumn("__part", F.lit(0) if part is None else part)
+    sums = cut.groupBy(day, "__part").agg(F.sum(amount).alias("__sum"))
+    whole = F.sum("__sum").over(Window.partitionBy(day).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("__whole", F.coalesce(whole, F.lit(0))).drop("__sum")
+    before = Window.partitionBy(day, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(sums, [day, "__part"]).withColumn("spent_before", (F.col("__whole") + F.coalesce(F.sum(amount).over(before), F.lit(0))).cast("bigint"))
+    return out.withColumn("granted", F.col("spent_before") + F.col(amount) <= cap).drop("__part", "__whole")
 
 
 def campaign_status(rows: DataFrame, target: int, cap: int) -> DataFrame:

@@ -25,7 +25,18 @@ def step(state: Column, event: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """job, status, attempts and at after all events (job, at, seq, kind); a job's own log is folded in order of at and seq."""
+    """job, status, attempts, at and next_attempt after all events (job, at, seq, kind); a job's own log is folded in order of at and seq.
+
+    A log is as long as its job has events, which MOST_ATTEMPTS bounds while the job is worked on.
+    """
     ordered = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "kind"))).alias("log"))
     first = F.struct(F.lit("none").alias("status"), F.lit(0).alias("attempts"), F.lit("1970-01-01 00:00:00").cast("timestamp").alias("at"), F.lit(False).alias("failed"))
-    return ordered.select("job", F.aggregate("log", first, step).alias("s")).select("job", "s.status", "s.attempts", "s.at")
+    done = ordered.select("job", F.aggregate("log", first, step).alias("s"))
+    waits = (F.col("s.status") == "pending") & F.col("s.failed")
+    return done.select("job", "s.status", "s.attempts", "s.at", F.when(waits, F.col("s.at") + F.expr(f"INTERVAL {RETRY_MINUTES} MINUTES")).alias("next_attempt"))
+
+
+def ready(jobs: DataFrame, now: Column, limit: int) -> DataFrame:
+    """The first `limit` pending jobs by id whose next attempt is due."""
+    due = F.col("next_attempt").isNull() | (F.col("next_attempt") <= now)
+    return jobs.filter((F.col("status") == "pending") & due).orderBy("job").limit(limit)

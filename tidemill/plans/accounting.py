@@ -116,7 +116,7 @@ def usage_by_day(spark, sf_dir):
 def budget_running(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), "ts", "event_id", F.lit(1).alias("n"))
     ordered = events.withColumn("o", F.struct("ts", "event_id"))
-    return accounting.budget(ordered, "day", "o", "n", 200).filter("granted").groupBy("day").agg(F.count("*").alias("granted"), F.max("spent_before").alias("spent_before"))
+    return accounting.budget(ordered, "day", "o", "n", 200, F.hour("o.ts")).filter("granted").groupBy("day").agg(F.count("*").alias("granted"), F.max("spent_before").alias("spent_before"))
 
 
 def status_dashboard(spark, sf_dir):
@@ -128,7 +128,7 @@ def status_dashboard(spark, sf_dir):
 
 def distinct_families(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.countDistinct(F.sha2(F.concat_ws(":", "lang", "source"), 256)).alias("families"), F.countDistinct("text").alias("texts"))
+    return docs.groupBy("lang").agg(F.countDistinct(F.sha2(F.concat_ws(":", "lang", "source"), 256)).alias("families"), F.countDistinct(F.sha2("text", 256)).alias("texts"))
 
 
 def case_ids(spark, sf_dir):

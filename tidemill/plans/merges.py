@@ -12,7 +12,7 @@ from tidemill.session import table
 
 def enqueue(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ref_id"), F.col("event_type").alias("kind"), "event_id")
-    return merge.insert_new(e.filter("event_id % 2 = 0"), e.filter("event_id < 500"), ["kind", "ref_id"], "event_id")
+    return merge.insert_new(e.filter("event_id % 3 > 0"), e.filter("event_id % 3 = 0"), ["kind", "ref_id"], "event_id")
 
 
 def school_state(spark, sf_dir):
@@ -35,7 +35,7 @@ def rearm_jobs(spark, sf_dir):
 
 def queue_replace(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    old = d.filter("doc_id < 300").select("doc_id", F.lit(10).alias("score"))
+    old = d.filter("doc_id % 4 > 0 or doc_id % 8 = 0").select("doc_id", F.lit(10).alias("score"))
     return merge.replaced(old, d.filter("doc_id % 4 = 0").select("doc_id", F.lit(20).alias("score")), ["doc_id"]).groupBy("score").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -89,13 +89,13 @@ def key_values(spark, sf_dir):
 
 
 PLANS = {
-    "enqueue": (enqueue, "SELECT user_id AS ref_id, event_type AS kind, min(event_id) AS event_id FROM events WHERE event_id % 2 = 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id < 500) GROUP BY ALL"),
+    "enqueue": (enqueue, "SELECT user_id AS ref_id, event_type AS kind, min(event_id) AS event_id FROM events WHERE event_id % 3 > 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 3 = 0) GROUP BY ALL"),
     "school_state": (school_state, """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(props, (ts, event_id)) FILTER (WHERE event_id % 3 = 0 AND props IS NOT NULL) AS boards,
   CASE WHEN bool_or(event_type = 'error') THEN 'failed' END AS reason FROM events GROUP BY user_id"""),
     "corpus_upsert": (corpus_upsert, "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0"),
     "rearm_jobs": (rearm_jobs, """SELECT CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 1 THEN 'pending' WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 3 = 1 THEN 'running' ELSE 'error' END AS status,
   CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 1 THEN 0 ELSE o_orderkey % 6 END AS attempts, count(*) AS n FROM orders GROUP BY ALL"""),
-    "queue_replace": (queue_replace, "SELECT CASE WHEN doc_id % 4 = 0 THEN 20 ELSE 10 END AS score, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE doc_id % 4 = 0 OR doc_id < 300 GROUP BY 1"),
+    "queue_replace": (queue_replace, "SELECT CASE WHEN doc_id % 4 = 0 THEN 20 ELSE 10 END AS score, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE doc_id % 4 = 0 OR (doc_id % 4 > 0 OR doc_id % 8 = 0) GROUP BY 1"),
     "migration": (migration, "SELECT CASE WHEN quality = 1 THEN 'approved' ELSE 'candidate' END AS review_status, count(*) AS n, CAST(0 AS BIGINT) AS split FROM labels GROUP BY 1"),
     "captures": (captures, "SELECT CASE WHEN doc_id % 10 = 9 OR trim(text) = '' THEN 'partial_capture' ELSE 'full' END AS capture, count(*) AS n FROM documents GROUP BY 1"),
     "campaign_seed": (campaign_seed, "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS \"end\", sha256('backfill:' || strftime(o_orderdate, '%Y-%m-%d'))[1:16] AS seed, strftime(CAST(o_orderdate AS DATE) - 730, '%Y-%m-%d') AS start FROM orders"),

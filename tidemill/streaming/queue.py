@@ -29,17 +29,28 @@ def advance(state: tuple, kind: str, at) -> tuple:
     return status, attempts, since, failed
 
 
-def job_states(events: DataFrame, output_mode: str = "update") -> DataFrame:
-    """job and its state after each micro-batch of events (job bigint, at timestamp, seq bigint, kind string)."""
+def job_states(events: DataFrame, output_mode: str = "update", late: str = "10 minutes") -> DataFrame:
+    """job and its state after each micro-batch of events (job bigint, at timestamp, seq bigint, kind string).
+
+    A claim that neither ends nor fails is given back by a timer in event time, STALE_MINUTES after it, without any event of
+    its job; until then nothing is said about the job.
+    """
 
     def run(key, frames, state):
-        now = state.get if state.exists else ("none", 0, pd.Timestamp(0), False)
-        for event in pd.concat(list(frames)).sort_values(["at", "seq"]).itertuples():
-            now = advance(tuple(now), event.kind, event.at)
+        now = tuple(state.get) if state.exists else ("none", 0, pd.Timestamp(0), False)
+        if state.hasTimedOut:
+            now = ("pending", now[1], pd.Timestamp(now[2]) + timedelta(minutes=STALE_MINUTES), False)
+        else:
+            for event in pd.concat(list(frames)).sort_values(["at", "seq"]).itertuples():
+                now = advance(now, event.kind, event.at)
         state.update(now)
+        if now[0] == "running":
+            end = int((pd.Timestamp(now[2]) + timedelta(minutes=STALE_MINUTES)).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job": [key[0]], "status": [now[0]], "attempts": [now[1]], "at": [now[2]]})
 
-    return events.groupBy("job").applyInPandasWithState(run, "job bigint, status string, attempts int, at timestamp", STATE, output_mode, "NoTimeout")
+    timed = events.withWatermark("at", late)
+    return timed.groupBy("job").applyInPandasWithState(run, "job bigint, status string, attempts int, at timestamp", STATE, output_mode, "EventTimeTimeout")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
