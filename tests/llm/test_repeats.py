@@ -58,7 +58,7 @@ def test_near_copies_that_branch(spark):
             own[rng.randrange(60)] = rng.choice("xyz")
         texts.append(" ".join(own[rng.randrange(10) : rng.randrange(40, 60)]))
     rows = [(i, t, i, "x") for i, t in enumerate(texts)]
-    for plan in (Plan("word", 9, 3), Plan("word", 9, 3, crowd=3), Plan("byte", 33, 12, crowd=3)):
+    for plan in (Plan("word", 9, 3), Plan("word", 9, 3, crowd=3), Plan("byte", 33, 12, crowd=3), Plan("byte", 33, 12, rounds=1), Plan("byte", 33, 12, crowd=3, rounds=1)):
         found = {r.doc_id: (r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut_repeats(spark.createDataFrame(rows, COLUMNS), plan).collect()}
         assert [found[i] for i in range(len(texts))] == brute(texts, plan.unit, plan.length)
 

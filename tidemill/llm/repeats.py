@@ -2,21 +2,26 @@
 
 1. anchors    a window of `length` units names as its anchors the least of the hashes of its `gram`-unit grams, so equal
               windows name anchors at equal places. An anchor's context is what windows that hold it can reach.
-2. classes    occurrences of repeated anchors are counted by anchor and context (128 bits over the text). In a class that
-              stands twice every window is repeated; a class stands for its copies from here on.
+2. classes    occurrences of repeated anchors are counted by anchor and context (64 bits of XXH3 beside the anchor's own 64).
+              In a class that stands twice every window is repeated; a class stands for its copies from here on.
 3. extension  the classes of an anchor are joined with the anchor's leader, the class with most copies. Each is extended
               both ways against the leader's text; a match of `length` or more is a maximal repeat.
 4. descent    what a class has beyond its match with the leader can still be shared with classes that differ from the
               leader at the same unit in the same way. These form groups of their own with longer seeds and go to step 3.
 5. cut        the stretches found are laid over each document and removed in one go.
 
+With `rounds`, groups that are open after so many rounds are not followed further: the suffixes of their contexts are sorted by
+induction (see induced), and windows are equal where neighbours share `length` bytes.
+
 Nothing is compared in pairs but with a leader. An anchor of over `crowd` classes is dealt out in parts of about that size,
 each with the leader's text; its groups of step 4 form anew over all parts. Grams are hashed for speed only: windows are
-equal because their text is, or (contexts) 128 bits of XXH3 over it.
+equal because their text is, or because XXH3 over the whole context of one and the same anchor is.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -27,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidemill.llm.common import Bitmap, Rolling, byte_texts, discard, joined_words, mixed, release, written
+from tidemill.llm.induced import repeats
 
 #: Rows of a record batch that is built in numpy.
 ROWS = 1 << 16
@@ -54,6 +60,7 @@ class Plan:
     gram: int
     piece: int = 1 << 19
     crowd: int = 4096
+    rounds: int = 0
     hashes: Rolling = field(default_factory=lambda: Rolling(11))
 
     @property
@@ -68,7 +75,7 @@ class Plan:
         return joined_words(text)
 
     def spots(self, data: bytes, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """Place and hash of every gram that is the least of some window."""
+        """Place and hash of every gram that is the least of some window; mixed anew, as least hashes are all small ones."""
         raw = np.frombuffer(data, np.uint8)
         n, gram, wide = len(raw) if starts is None else len(starts), self.gram, self.reach + 1
         places, values = [], []
@@ -87,9 +94,9 @@ class Plan:
             places.append(named + at)
             values.append(grams[named])
         if len(places) < 2:
-            return (places[0], values[0]) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            return (places[0], mixed(values[0])) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         spots, first = np.unique(np.concatenate(places), return_index=True)
-        return spots, np.concatenate(values)[first]
+        return spots, mixed(np.concatenate(values)[first])
 
     def bounds(self, spots: np.ndarray, data: bytes, starts, ends):
         """Units before the anchor in its context, and the first, anchor's and last byte of the context."""
@@ -100,11 +107,11 @@ class Plan:
         return spots - low, starts[low], starts[spots], ends[high - 1]
 
     def classes(self, spots: np.ndarray, data: bytes, starts, ends) -> np.ndarray:
-        """Two 64-bit halves of the hash of each anchor's context and of where the anchor stands in it."""
+        """A hash of each anchor's context and of where the anchor stands in it."""
         left, low, _, high = self.bounds(spots, data, starts, ends)
-        digest, view = xxhash.xxh3_128_digest, memoryview(data)
-        found = [digest(view[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist())]
-        return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        digest, view = xxhash.xxh3_64_intdigest, memoryview(data)
+        found = (digest(view[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist()))
+        return np.fromiter(found, np.uint64, len(left)).view(np.int64)
 
     def matched(self, one: "Member", two: "Member") -> tuple[int, int]:
         """Units that two contexts share before the anchor, and from it on."""
@@ -171,22 +178,71 @@ def extend(plan: Plan, leader: Member, members: list[Member]):
     return repeats, rest
 
 
-def settle(plan: Plan, members: list[Member]):
-    """(member, left, right) of the maximal repeats of a group whose members all share its seed."""
-    work = [members]
-    while work:
-        group = work.pop()
-        leader = max(group, key=lambda m: m.copies)
-        repeats, rest = extend(plan, leader, [m for m in group if m is not leader])
-        wide: dict[int, int] = {}
-        for _, left, right in repeats:
-            wide[left] = max(wide.get(left, 0), right)
-        yield from repeats
-        yield from ((leader, left, right) for left, right in wide.items())
-        groups = defaultdict(list)
-        for side, at, unit, member in rest:
-            groups[side, at, unit].append(member)
-        work += [g for g in groups.values() if len(g) > 1]
+def led(plan: Plan, group: list[Member]):
+    """The maximal repeats of a group with its leader, as (member, left, right), and the groups that are left open."""
+    leader = max(group, key=lambda m: m.copies)
+    repeats, rest = extend(plan, leader, [m for m in group if m is not leader])
+    wide: dict[int, int] = {}
+    for _, left, right in repeats:
+        wide[left] = max(wide.get(left, 0), right)
+    groups = defaultdict(list)
+    for side, at, unit, member in rest:
+        groups[side, at, unit].append(member)
+    return repeats + [(leader, left, right) for left, right in wide.items()], [g for g in groups.values() if len(g) > 1]
+
+
+def settle(plan: Plan, members: list[Member]) -> tuple[list, list[list[Member]]]:
+    """The maximal repeats, as (member, left, right), of a group whose members all share its seed, and the groups still open after plan.rounds."""
+    found, groups, n = [], [members], 0
+    while groups and not (plan.rounds and n == plan.rounds):
+        now, groups = groups, []
+        for group in now:
+            repeats_, rest = led(plan, group)
+            found += repeats_
+            groups += rest
+        n += 1
+    return found, groups
+
+
+class Shard:
+    """Contexts that a task sorts the suffixes of: their texts on disk, keys and places of their anchors in memory."""
+
+    def __init__(self, plan: Plan):
+        self.plan, self.keys, self.left, self.file = plan, [], [], tempfile.TemporaryFile()
+
+    def add(self, groups: list[list[Member]]) -> None:
+        """The members of an anchor's open groups, each once."""
+        for member in {m.key: m for g in groups for m in g}.values():
+            self.keys.append(member.key)
+            self.left.append(len(member.before))
+            pickle.dump(member.before + member.after, self.file, 5)
+
+    def texts(self):
+        self.file.seek(0)
+        for _ in self.keys:
+            yield pickle.load(self.file)
+
+    def stretches(self):
+        """anchor, c, left, right: windows of one anchor, at one place from it, that two classes share."""
+        marks: dict[int, int] = defaultdict(int)
+        for run in repeats(self.texts(), self.plan.length):
+            same = defaultdict(set)
+            for number, place in run:
+                off = self.left[number] - place
+                if 0 <= off <= self.plan.reach:
+                    same[self.keys[number][0], off].add(number)
+            for (_, off), numbers in same.items():
+                if len({self.keys[n] for n in numbers}) > 1:
+                    for n in numbers:
+                        marks[n] |= 1 << off
+        for n, bits in marks.items():
+            while bits:
+                low = (bits & -bits).bit_length() - 1
+                high = low
+                while bits >> (high + 1) & 1:
+                    high += 1
+                bits &= ~((1 << (high + 1)) - 1)
+                yield (*self.keys[n], high, self.plan.length - low)
 
 
 KEYS = "d bigint, mark bigint"
@@ -222,14 +278,14 @@ def _anchors(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, plan: Plan, repeated) -> DataFrame:
-    """anchor, c1, c2 (its context), d, mark, at: every place of an anchor that `repeated`, if given, has."""
+    """anchor, c (its context), d, mark, at: every place of an anchor that `repeated`, if given, has."""
 
     def run(batches):
         def batch_of(rows):
             anchors, classes, d, mark, spots = (np.concatenate(x) for x in zip(*rows))
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchors.view(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(d), pa.array(mark), pa.array(spots)],
-                ["anchor", "c1", "c2", "d", "mark", "at"],
+                [pa.array(anchors.view(np.int64)), pa.array(classes), pa.array(d), pa.array(mark), pa.array(spots.astype(np.int32))],
+                ["anchor", "c", "d", "mark", "at"],
             )
 
         known = repeated.value if repeated is not None else None
@@ -252,7 +308,7 @@ def _occurrences(docs: DataFrame, plan: Plan, repeated) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return docs.select("d", "mark", "text").mapInArrow(run, f"anchor bigint, c1 bigint, c2 bigint, {KEYS}, at bigint")
+    return docs.select("d", "mark", "text").mapInArrow(run, f"anchor bigint, c bigint, {KEYS}, at int")
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -267,16 +323,15 @@ def _packed(docs: DataFrame, *names: str) -> DataFrame:
     return kept.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", text binary")
 
 
-MEMBER = "c1 bigint, c2 bigint, copies bigint, before binary, after binary, low int, high int, left int, right int"
+MEMBER = "anchor bigint, c bigint, copies bigint, before binary, after binary, low int, high int, left int, right int"
 
 
 def _members(docs: DataFrame, plan: Plan, classes: DataFrame) -> DataFrame:
-    """anchor, classes (how many it has), lead, and the columns of MEMBER for each class of an anchor with several."""
-    leads = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.max_by(F.struct("c1", "c2"), F.struct("copies", "c1", "c2")).alias("l")).filter("classes > 1")
-    lead = ((F.col("c1") == F.col("l.c1")) & (F.col("c2") == F.col("l.c2"))).alias("lead")
-    opened = classes.join(leads, "anchor").select("anchor", "classes", lead, "c1", "c2", "copies", "place.d", "place.mark", "place.at")
-    wanted = opened.groupBy("d", "mark").agg(F.collect_list(F.struct("at", "anchor", "classes", "lead", "c1", "c2", "copies")).alias("spots"))
-    names = ["anchor", "classes", "lead", "c1", "c2", "copies"]
+    """classes (how many its anchor has), lead, and the columns of MEMBER for each class of an anchor with several."""
+    leads = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.max_by("c", F.struct("copies", "c")).alias("l")).filter("classes > 1")
+    opened = classes.join(leads, "anchor").select("anchor", "classes", (F.col("c") == F.col("l")).alias("lead"), "c", "copies", "place.d", "place.mark", "place.at")
+    wanted = opened.groupBy("d", "mark").agg(F.collect_list(F.struct("at", "classes", "lead", "anchor", "c", "copies")).alias("spots"))
+    names = ["classes", "lead", "anchor", "c", "copies"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -301,28 +356,30 @@ def _members(docs: DataFrame, plan: Plan, classes: DataFrame) -> DataFrame:
                     )
 
     joined = _packed(docs, "d", "mark").join(wanted, ["d", "mark"]).select("text", "spots")
-    return joined.mapInArrow(run, f"anchor bigint, classes bigint, lead boolean, {MEMBER}")
+    return joined.mapInArrow(run, f"classes bigint, lead boolean, {MEMBER}")
 
 
 STRETCH = "l int, r int"
 
 
 def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
-    """c1, c2, l, r of maximal repeats; and MEMBER with a group (g1, g2) for what crowded groups leave open."""
+    """anchor, c, l, r of maximal repeats; and MEMBER with a group (g1, g2) for what crowded groups leave open."""
     parts = F.ceil(F.col("classes") / plan.crowd).cast("int")
-    salt = F.when(F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("c2", "c1"), parts).cast("int")))
-    dealt = members.withColumns({"part": F.explode(salt)}).repartition(*group, "part").sortWithinPartitions(*group, "part", F.desc("lead"), "c1", "c2")
+    salt = F.when(F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("c", "anchor"), parts).cast("int")))
+    dealt = members.withColumns({"part": F.explode(salt)}).repartition(*group, "part").sortWithinPartitions(*group, "part", F.desc("lead"), "anchor", "c")
     names = [f.split()[0] for f in MEMBER.split(", ")]
-    kept = dealt.select(*group, "part", "classes", *names)
+    kept = dealt.select(*[F.col(g).alias(f"__{g}") for g in group], "part", "classes", *names)
 
     def run(batches):
-        stretches, opened = [], []
+        stretches, opened, shard = [], [], Shard(plan)
 
         def closed(key, members):
             if len(members) < 2:
                 return
             if key[-1] <= plan.crowd:
-                stretches.extend((*m.key, left, right) for m, left, right in settle(plan, members))
+                found, rest = settle(plan, members)
+                shard.add(rest)
+                stretches.extend((*m.key, left, right) for m, left, right in found)
                 return
             leader, wide = members[0], {}
             repeats, rest = extend(plan, leader, members[1:])
@@ -335,7 +392,7 @@ def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
                 opened.append((*np.frombuffer(name, "<i8").tolist(), *m.key, m.copies, m.before, m.after, m.low, m.high, m.left, m.right))
 
         def batch_of():
-            shape = [("c1", 0), ("c2", 1), ("l", 2), ("r", 3)]
+            shape = [("anchor", 0), ("c", 1), ("l", 2), ("r", 3)]
             blank = len(stretches), len(opened)
             column = lambda rows, i, kind: pa.array([x[i] for x in rows], kind)
             types = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 4)))
@@ -356,27 +413,31 @@ def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
                     current, members = row[:wide], []
                     if len(stretches) + 8 * len(opened) >= ROWS:
                         yield batch_of()
-                c1, c2, *rest = row[wide:]
-                members.append(Member((c1, c2), *rest))
+                anchor, c, *rest = row[wide:]
+                members.append(Member((anchor, c), *rest))
         closed(current, members)
+        for stretch in shard.stretches():
+            stretches.append(stretch)
+            if len(stretches) >= ROWS:
+                yield batch_of()
         yield batch_of()
 
-    return kept.mapInArrow(run, f"c1 bigint, c2 bigint, l int, r int, g1 bigint, g2 bigint, {MEMBER.split(', ', 2)[2]}")
+    return kept.mapInArrow(run, f"anchor bigint, c bigint, l int, r int, g1 bigint, g2 bigint, {MEMBER.split(', ', 2)[2]}")
 
 
 def _stretches(docs: DataFrame, plan: Plan, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """c1, c2, l, r: the repeated stretches of each class, as units before its anchor and from it on; and the tables it reads."""
-    whole = classes.filter("copies > 1").select("c1", "c2", F.lit(plan.reach).alias("l"), F.lit(plan.length).alias("r"))
+    """anchor, c, l, r: the repeated stretches of each class, as units before its anchor and from it on; and the tables it reads."""
+    whole = classes.filter("copies > 1").select("anchor", "c", F.lit(plan.reach).alias("l"), F.lit(plan.length).alias("r"))
     found = [written(_extended(_members(docs, plan, classes), plan, ["anchor"]), "extended")]
     while not (rest := found[-1].filter("l is null")).isEmpty():
-        groups = rest.groupBy("g1", "g2").agg(F.count("*").alias("classes"), F.max_by(F.struct("c1", "c2"), F.struct("copies", "c1", "c2")).alias("h")).filter("classes > 1")
-        lead = ((F.col("c1") == F.col("h.c1")) & (F.col("c2") == F.col("h.c2"))).alias("lead")
+        groups = rest.groupBy("g1", "g2").agg(F.count("*").alias("classes"), F.max_by(F.struct("anchor", "c"), F.struct("copies", "anchor", "c")).alias("h")).filter("classes > 1")
+        lead = ((F.col("anchor") == F.col("h.anchor")) & (F.col("c") == F.col("h.c"))).alias("lead")
         members = rest.join(groups, ["g1", "g2"]).select("g1", "g2", "classes", lead, *[f.split()[0] for f in MEMBER.split(", ")])
         found.append(written(_extended(members, plan, ["g1", "g2"]), "extended"))
     every = whole
     for table in found:
-        every = every.unionByName(table.filter("l is not null").select("c1", "c2", "l", "r"))
-    return every.groupBy("c1", "c2", "l").agg(F.max("r").alias("r")), found
+        every = every.unionByName(table.filter("l is not null").select("anchor", "c", "l", "r"))
+    return every.groupBy("anchor", "c", "l").agg(F.max("r").alias("r")), found
 
 
 def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -394,12 +455,12 @@ def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
         places = _occurrences(docs, plan, spark.sparkContext.broadcast(Bitmap.of(anchors, "anchor", count)))
     else:
         places = _occurrences(docs, plan, None).join(anchors, "anchor", "left_semi")
-    places = written(places.withColumns({"at": F.col("at").cast("int")}), "places")
+    places = written(places, "places")
     discard(anchors)
-    classes = written(places.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d", "mark", "at")).alias("place")), "classes")
+    classes = written(places.groupBy("anchor", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "mark", "at")).alias("place")), "classes")
     release(spark)
     stretches, tables = _stretches(docs, plan, classes)
-    met = places.select("c1", "c2", "d", "mark", "at").join(stretches, ["c1", "c2"])
+    met = places.join(stretches, ["anchor", "c"])
     span = F.shiftleft(F.greatest(F.col("at") - F.col("l"), F.lit(0)).cast("bigint"), 32).bitwiseOR((F.col("at") + F.col("r")).cast("bigint"))  # first unit, and the one after the last
     spans = written(met.select("d", "mark", span.alias("s")).groupBy("d", "mark").agg(F.collect_set("s").alias("spans")), "spans")
     discard(places, classes, *tables)

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemill.llm.common import documents
 from tidemill.llm.repeats import Plan, cut_repeats
 
-#: Bytes of a repeat, and of the grams that anchors are.
-LENGTH, GRAM = 400, 300
+#: Bytes of a repeat, and of the grams that anchors are; rounds of extension before what is open is sorted.
+LENGTH, GRAM, ROUNDS = 400, 160, 8
 
 
 def cut_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too; see cut_repeats."""
-    return cut_repeats(docs, Plan("byte", length, gram))
+    return cut_repeats(docs, Plan("byte", length, gram, rounds=ROUNDS))
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
