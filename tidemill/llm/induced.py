@@ -207,7 +207,7 @@ def suffixes(text: memoryview, limit: int, cap: int = 0, common=None) -> Iterato
         before, k = (symbol, rising, i), k + 1
 
 
-def repeats(texts: Iterator[bytes], cap: int, limit: int = 1 << 18) -> Iterator[list[tuple[int, int]]]:
+def repeats(texts: Iterator[bytes], cap: int, limit: int = 1 << 16) -> Iterator[list[tuple[int, int]]]:
     """Runs of (text, place) of all suffixes that share their first `cap` bytes, two or more to a run; no match leaves its text."""
     symbols, starts, data = Store(), array("q"), tempfile.TemporaryFile()
     for number, text in enumerate(texts):

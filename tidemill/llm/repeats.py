@@ -8,7 +8,8 @@
               both ways against the leader's text; a match of `length` or more is a maximal repeat.
 4. descent    what a class has beyond its match with the leader can still be shared with classes that differ from the
               leader at the same unit in the same way. These form groups of their own with longer seeds and go to step 3.
-5. cut        the stretches found are laid over each document and removed in one go.
+5. cut        all stretches of a class hold its anchor, so together they are one; they are laid over each document and
+              removed in one go.
 
 With `rounds`, groups that are open after so many rounds are not followed further: the suffixes of their contexts are sorted by
 induction (see induced), and windows are equal where neighbours share `length` bytes.
@@ -181,14 +182,13 @@ def extend(plan: Plan, leader: Member, members: list[Member]):
 def led(plan: Plan, group: list[Member]):
     """The maximal repeats of a group with its leader, as (member, left, right), and the groups that are left open."""
     leader = max(group, key=lambda m: m.copies)
-    repeats, rest = extend(plan, leader, [m for m in group if m is not leader])
-    wide: dict[int, int] = {}
-    for _, left, right in repeats:
-        wide[left] = max(wide.get(left, 0), right)
+    found, rest = extend(plan, leader, [m for m in group if m is not leader])
+    if found:
+        found.append((leader, max(left for _, left, _ in found), max(right for _, _, right in found)))
     groups = defaultdict(list)
     for side, at, unit, member in rest:
         groups[side, at, unit].append(member)
-    return repeats + [(leader, left, right) for left, right in wide.items()], [g for g in groups.values() if len(g) > 1]
+    return found, [g for g in groups.values() if len(g) > 1]
 
 
 def settle(plan: Plan, members: list[Member]) -> tuple[list, list[list[Member]]]:
@@ -197,8 +197,8 @@ def settle(plan: Plan, members: list[Member]) -> tuple[list, list[list[Member]]]
     while groups and not (plan.rounds and n == plan.rounds):
         now, groups = groups, []
         for group in now:
-            repeats_, rest = led(plan, group)
-            found += repeats_
+            more, rest = led(plan, group)
+            found += more
             groups += rest
         n += 1
     return found, groups
@@ -236,13 +236,7 @@ class Shard:
                     for n in numbers:
                         marks[n] |= 1 << off
         for n, bits in marks.items():
-            while bits:
-                low = (bits & -bits).bit_length() - 1
-                high = low
-                while bits >> (high + 1) & 1:
-                    high += 1
-                bits &= ~((1 << (high + 1)) - 1)
-                yield (*self.keys[n], high, self.plan.length - low)
+            yield (*self.keys[n], bits.bit_length() - 1, self.plan.length - (bits & -bits).bit_length() + 1)
 
 
 KEYS = "d bigint, mark bigint"
@@ -373,20 +367,28 @@ def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
     def run(batches):
         stretches, opened, shard = [], [], Shard(plan)
 
+        def kept(found):
+            """One stretch for each class that stands once; a class that stands twice is repeated as a whole anyway."""
+            wide: dict[tuple, tuple] = {}
+            for member, left, right in found:
+                if member.copies == 1:
+                    low, high = wide.get(member.key, (0, 0))
+                    wide[member.key] = max(low, left), max(high, right)
+            stretches.extend((*key, *reach) for key, reach in wide.items())
+
         def closed(key, members):
             if len(members) < 2:
                 return
             if key[-1] <= plan.crowd:
                 found, rest = settle(plan, members)
                 shard.add(rest)
-                stretches.extend((*m.key, left, right) for m, left, right in found)
+                kept(found)
                 return
-            leader, wide = members[0], {}
-            repeats, rest = extend(plan, leader, members[1:])
-            for one, left, right in repeats:
-                stretches.append((*one.key, left, right))
-                wide[left] = max(wide.get(left, 0), right)
-            stretches.extend((*leader.key, left, right) for left, right in wide.items())
+            leader = members[0]
+            found, rest = extend(plan, leader, members[1:])
+            if found:
+                found.append((leader, max(left for _, left, _ in found), max(right for _, _, right in found)))
+            kept(found)
             for side, at, unit, m in rest:
                 name = xxhash.xxh3_128_digest(repr((key[: len(group)], side, at, unit)).encode())
                 opened.append((*np.frombuffer(name, "<i8").tolist(), *m.key, m.copies, m.before, m.after, m.low, m.high, m.left, m.right))
@@ -426,7 +428,7 @@ def _extended(members: DataFrame, plan: Plan, group: list[str]) -> DataFrame:
 
 
 def _stretches(docs: DataFrame, plan: Plan, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """anchor, c, l, r: the repeated stretches of each class, as units before its anchor and from it on; and the tables it reads."""
+    """anchor, c, l, r: the repeated stretch of each class, as units before its anchor and from it on; and the tables it reads."""
     whole = classes.filter("copies > 1").select("anchor", "c", F.lit(plan.reach).alias("l"), F.lit(plan.length).alias("r"))
     found = [written(_extended(_members(docs, plan, classes), plan, ["anchor"]), "extended")]
     while not (rest := found[-1].filter("l is null")).isEmpty():
@@ -437,7 +439,39 @@ def _stretches(docs: DataFrame, plan: Plan, classes: DataFrame) -> tuple[DataFra
     every = whole
     for table in found:
         every = every.unionByName(table.filter("l is not null").select("anchor", "c", "l", "r"))
-    return every.groupBy("anchor", "c", "l").agg(F.max("r").alias("r")), found
+    return every.groupBy("anchor", "c").agg(F.max("l").alias("l"), F.max("r").alias("r")), found
+
+
+def _listed(spans: DataFrame) -> DataFrame:
+    """d, mark and spans: the distinct spans of each document, put together from rows in order rather than in hash tables."""
+
+    def run(batches):
+        def batch_of(keys, lists):
+            ends = np.cumsum([0, *map(len, lists)])
+            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["d", "mark", "spans"])
+
+        key, held = None, []
+        for batch in batches:
+            d, mark, s = (c.to_numpy() for c in batch.columns)
+            change = np.concatenate(([0], np.flatnonzero((d[1:] != d[:-1]) | (mark[1:] != mark[:-1])) + 1, [len(d)])) if len(d) else [0]
+            keys, lists = [], []
+            for low, high in zip(change[:-1], change[1:]):
+                now = int(d[low]), int(mark[low])
+                if now != key:
+                    if held:
+                        keys.append(key)
+                        lists.append(np.unique(np.concatenate(held)))
+                    key, held = now, []
+                held.append(np.unique(s[low:high]))
+                if len(held) > 64:  # a document of very many rows, or one repeated very often
+                    held = [np.unique(np.concatenate(held))]
+            yield batch_of(keys, lists)
+        if held:
+            yield batch_of([key], [np.unique(np.concatenate(held))])
+
+    dealt = spans.repartition("d", "mark").sortWithinPartitions("d", "mark")
+    return dealt.mapInArrow(run, f"{KEYS}, spans array<bigint>")
 
 
 def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -462,7 +496,7 @@ def cut_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
     stretches, tables = _stretches(docs, plan, classes)
     met = places.join(stretches, ["anchor", "c"])
     span = F.shiftleft(F.greatest(F.col("at") - F.col("l"), F.lit(0)).cast("bigint"), 32).bitwiseOR((F.col("at") + F.col("r")).cast("bigint"))  # first unit, and the one after the last
-    spans = written(met.select("d", "mark", span.alias("s")).groupBy("d", "mark").agg(F.collect_set("s").alias("spans")), "spans")
+    spans = written(_listed(met.select("d", "mark", span.alias("s"))), "spans")
     discard(places, classes, *tables)
     release(spark)
     joined = _packed(docs, "doc_id", "d", "mark").join(spans, ["d", "mark"], "left").select("doc_id", "text", "spans")
