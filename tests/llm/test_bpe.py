@@ -41,3 +41,18 @@ def test_word_table_by_higher_order_functions(spark):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_documents_by_higher_order_functions(spark):
+    own = reference()
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "again"), (3, "another text of one id", ""), (None, "no id", "")]
+    found = bpe_words.encode_documents(spark.createDataFrame(rows, COLUMNS)).collect()
+    want = sorted((str(i), own.encode_ordinary(t)) for i, t in {(i, t) for i, t, _ in rows} if t)
+    assert sorted((str(r.doc_id), r.ids) for r in found) == want
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [("z", 1, "the cat", "old", 5), ("z", 1, "the cat", "old", 5), (None, None, None, None, None)]
+    found = bpe.encode(spark.createDataFrame(rows, "ids_sha256 string, doc_id bigint, text string, ids string, n_tokens int"))
+    assert found.columns == ["doc_id", "text", "ids", "n_tokens", "ids_sha256"]
+    assert [r.n_tokens for r in found.select("ids", "n_tokens").collect()] == [2, 2, 0]

@@ -76,18 +76,22 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The rows of `docs` (doc_id, text) with ids, an array of token ids, and n_tokens and ids_sha256.
+    """The rows of `docs` with ids, an array of token ids of `text`, and n_tokens and ids_sha256.
 
     Each match of `pattern` is merged by itself; a worker folds each distinct word once while it remembers it. Null and
-    empty texts have no ids. Special tokens are ordinary text. Every row comes out once, repeated rows too.
+    empty texts have no ids. Special tokens are ordinary text. Every row comes out once, repeated rows too. All columns pass
+    through, but those named ids, n_tokens or ids_sha256, whose place the new ones take.
     """
     path = path or public_tokenizers.path(VOCABULARY)
+    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "ids_sha256")]
+    docs = docs.select(*names)
+    at = names.index("text")
 
     def run(batches):
         rank, split, known = ranks(path), regex.compile(pattern), {}
         for batch in batches:
             ids, ends, digests = [], [0], []
-            for value in batch.column(1):
+            for value in batch.column(at):
                 words = split.findall(value.as_py() or "")
                 own: list[int] = []
                 for word in words:
@@ -108,8 +112,6 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             )
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    if docs.columns[:2] != ["doc_id", "text"]:
-        raise ValueError("docs must begin with doc_id, text")
     return docs.mapInArrow(run, f"{shape}, ids array<int>, n_tokens bigint, ids_sha256 string")
 
 

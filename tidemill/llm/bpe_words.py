@@ -6,10 +6,13 @@ since a lookup in a map of 50,000 entries would walk through it. For each word,
 
 from __future__ import annotations
 
+import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.llm.bpe import VOCABULARY, ranks
+from tidemill.llm.common import written
 
 BUCKETS = 1 << 15
 NONE = 1 << 30
@@ -48,3 +51,30 @@ def encode_words(words: DataFrame, path: str | None = None) -> DataFrame:
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("__parts"), F.lit(1))), F.col("__parts"), step)
     ids = F.when(whole < NONE, F.array(whole)).otherwise(F.transform(folded, rank_of))
     return words.withColumns({"__parts": parts}).withColumns({"ids": F.when(F.col("word").isNotNull(), ids)}).drop("__parts")
+
+
+def split(docs: DataFrame, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, mark (which tells apart rows of one id that differ) and words, the matches of the pattern in order."""
+
+    def run(batches):
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            found = [find(t.as_py() or "") for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["doc_id", "mark", "words"])
+
+    kept = docs.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, mark bigint, words array<string>")
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, mark and ids of every text with a word, all merges folded natively: each distinct word once, then joined back.
+
+    Words go through the join by 64-bit hashes with their places. Every occurrence is a row, twice shuffled; see the README
+    for what that takes. Rows that repeat doc_id and text come out once.
+    """
+    found = split(docs, pattern).dropDuplicates(["doc_id", "mark"])
+    distinct = found.select(F.explode("words").alias("word")).distinct()
+    known = written(encode_words(distinct, path).select(F.xxhash64("word").alias("h"), "ids"), "words")
+    spots = found.select("doc_id", "mark", F.posexplode(F.transform("words", lambda w: F.xxhash64(w))).alias("at", "h"))
+    parts = spots.join(known, "h").groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    return parts.select("doc_id", "mark", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
