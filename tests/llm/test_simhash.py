@@ -62,3 +62,34 @@ def test_odd_rows(spark):
     found = simhash.groups(spark.createDataFrame(rows, COLUMNS)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.component_id) for r in found] == [(None, 3), (1, 1), (2, 1), (3, 3), (3, 3), (5, 5)]
     assert simhash.groups(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_the_pivot_table_discards_and_loses_nothing(spark):
+    """Fingerprints that agree in 32 bits and differ at random in the others: pairs to look at, few to verify."""
+    rng = random.Random(5)
+    fps = []
+    for _ in range(150):
+        high = rng.getrandbits(32) << 32
+        fps += [high | rng.getrandbits(32) for _ in range(8)]
+        fps.append(fps[-1] ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    fps = sorted(set(fps))
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    pairs = simhash.candidates(table)
+    before, after = pairs.select("a", "b").distinct().count(), simhash.pruned(pairs).select("a", "b").distinct().count()
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
+    found = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(table).collect()}
+    assert found == want and before > 4000 and len(want) <= after < before / 10
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 120))) for _ in range(25)]
+    texts = [None, "", " \n "] + base
+    for _ in range(150):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            words[rng.randrange(len(words))] = "x"
+        texts.append(rng.choice((" ", "\t")).join(words).upper() if rng.random() < 0.3 else " ".join(words))
+    found = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], COLUMNS)).collect()}
+    want = closed([brute(" ".join((t or "").split())) for t in texts])
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) < len(texts) - 60

@@ -42,7 +42,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     A line is what stands between \\n; windows are three consecutive lines of one text, blank ones included, but not all
     three blank. Of equal windows the first by (doc_id, hash of the text, line) stays; overlapping later ones are merged.
     Null and empty texts count one empty line and stay. Rows that repeat a doc_id and its text are one text read twice:
-    they come out alike. Null doc_ids sort first. Other columns pass through untouched.
+    they come out alike. Null doc_ids sort first. Columns named n_lines or n_removed are overwritten, others pass through.
     """
     marked = docs.withColumns({"__mark": text_hash()})
     keyed = marked.select("doc_id", F.col("__mark").alias("mark"), "text")

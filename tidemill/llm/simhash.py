@@ -53,13 +53,12 @@ def _coordinates(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, F.array(*[F.bit_count(F.col(column).bitwiseXOR(F.lit(p))) for p in pivots]))
 
 
-def links(fps: DataFrame, most: int = 2) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that connect all those differing in up to `most` (0 to 2) bits.
+def candidates(fps: DataFrame) -> DataFrame:
+    """a, b and their pivot distances x, y: pairs of distinct fingerprints among which all that differ in up to two bits are linked.
 
-    A pair that differs in two bits agrees in two of four 16-bit blocks, so each fingerprint stands in six buckets.
-    Within a bucket, pairs whose pivot distances differ by more than `most` in any coordinate go, the rest are verified.
-    The members of a bucket larger than BUCKET instead meet at the 65 values they reach by flipping at most one bit:
-    two of them share such a value just when they differ in at most two bits, and each is linked to the least of its value.
+    A pair that differs in two bits agrees in two of four 16-bit blocks, so each fingerprint stands in six buckets, whose
+    members all meet. The members of a bucket larger than BUCKET instead meet at the 65 values they reach by flipping at most
+    one bit: two of them share such a value just when they differ in at most two bits, and each is paired with the least of it.
     """
     table = written(_coordinates(fps.select("fp").distinct(), "fp", "at"), "pivots")
     block = [F.expr(f"shiftrightunsigned(fp, {16 * i}) & 65535") for i in range(4)]
@@ -76,9 +75,18 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     met = large.select("fp", "at", F.explode(flips).alias("key"))
     least = met.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     star = _coordinates(met.join(least, "key").filter("a < fp"), "a", "x").select("a", F.col("fp").alias("b"), "x", F.col("at").alias("y"))
+    return near.select("a", "b", "x", "y").unionByName(star)
+
+
+def pruned(pairs: DataFrame, most: int = 2) -> DataFrame:
+    """Pairs without those whose pivot distances differ by more than `most` in any coordinate: such differ in more bits."""
+    return pairs.filter(~F.exists(F.zip_with("x", "y", lambda p, q: F.abs(p - q)), lambda d: d > most))
 
-    kept = near.select("a", "b", "x", "y").unionByName(star)
-    kept = kept.filter(~F.exists(F.zip_with("x", "y", lambda p, q: F.abs(p - q)), lambda d: d > most))
+
+def links(fps: DataFrame, most: int = 2) -> DataFrame:
+    """Pairs a < b of distinct fingerprints that connect all those differing in up to `most` (0 to 2) bits: candidates that
+    the pivot table leaves, verified."""
+    kept = pruned(candidates(fps), most)
     return kept.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()
 
 
