@@ -74,3 +74,18 @@ def test_canonical_column_equals_the_exact_one(spark):
     rows = [("https://A.example:443/p;x=1?b=2&a=1&utm_q=1#z",), ("http://a.example",), ("mailto:x",)]
     found = spark.createDataFrame(rows, "u string").select(urls.canonical(F.col("u")).alias("c"), crawl.canonical_any("u").alias("e")).collect()
     assert all(r.c == r.e for r in found)
+
+
+def test_uploads_and_results_that_are_there(spark, tmp_path):
+    from tidemill.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.html").write_bytes("<html><p>안내 말씀</p>".encode())
+    (tmp_path / "y.pdf").write_bytes(b"plain")
+    (tmp_path / "z.exe").write_bytes(b"MZ")
+    found = {r.filename: (r.kind, r.error) for r in files.scan(spark, str(tmp_path)).select("filename", "kind", "error").collect()}
+    assert found == {"x.html": ("html", None), "y.pdf": ("unsupported", "content_mismatch"), "z.exe": ("unsupported", "bad_extension")}
+    rows = spark.createDataFrame([("s1", bytearray(b"<html><p>one"), "a.html"), ("s2", bytearray(b"<html><p>two"), "b.html"), ("s2", bytearray(b"<html><p>two"), "c.html")], "sha256 string, content binary, filename string")
+    stored = spark.createDataFrame([("s1", "html", "extracted", None, ["kept"], [], "p2"), ("s2", "html", "parse_error", "x", [], [], "p2")], f"sha256 string, kind string, {files.RESULT}, parser string")
+    got = {r.sha256: (r.status, r.paragraphs) for r in files.extract_new(rows, stored, "p2").collect()}
+    assert got == {"s1": ("extracted", ["kept"]), "s2": ("extracted", ["two"])}

@@ -87,3 +87,8 @@ def source_stamp(sha: Column, flags: Column, parser: Column, version: str, bound
 def record_fingerprint(files: Column, version: str) -> Column:
     """Digest of a notice's classified files, in order of their ids, and the rules' version."""
     return F.sha2(json_object(files=F.to_json(F.array_sort(files)), version=json_string(F.lit(version))), 256)
+
+
+def campaign_window(end: Column, years: float = 2) -> tuple[Column, Column]:
+    """(seed, first day) of a campaign that looks back from its last day."""
+    return F.substring(F.sha2(F.concat(F.lit("backfill:"), end.cast("string")), 256), 1, 16), F.date_sub(end, int(365.25 * years))

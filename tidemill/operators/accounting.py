@@ -16,6 +16,27 @@ def region_report(notices: DataFrame, goal: Column) -> DataFrame:
     return out.withColumn("status", F.when(F.col("shortfall") > 0, "partial").otherwise("complete"))
 
 
+def daily_report(notices: DataFrame, targets: DataFrame) -> DataFrame:
+    """office, target, before, new, duplicates, total, shortfall, status and daily_target of each office with a target.
+
+    `notices` has office, before (whether a row was there when the run began) and is_new (first of its identity). daily_target
+    is the sum over offices.
+    """
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    per = notices.groupBy("office").agg(one(F.col("before") & F.col("is_new")).alias("before"), one(~F.col("before") & F.col("is_new")).alias("new"), one(~F.col("before") & ~F.col("is_new")).alias("duplicates"))
+    out = targets.join(per, "office", "left").na.fill(0, ["before", "new", "duplicates"])
+    out = out.withColumn("total", F.col("before") + F.col("new"))
+    out = out.withColumn("shortfall", F.greatest(F.col("target") - F.col("total"), F.lit(0)))
+    whole = targets.agg(F.sum("target").alias("daily_target"))
+    return out.withColumn("status", F.when(F.col("shortfall") > 0, "partial").otherwise("complete")).crossJoin(F.broadcast(whole))  # one row
+
+
+def lookback(published: Column, day: Column, days: int = 365) -> Column:
+    """passes, too_old, in_future or malformed for a date given as text; without one a post passes."""
+    given = F.try_to_date(published, "yyyy-MM-dd")
+    return F.when(published.isNull(), "passes").when(given.isNull(), "malformed").when(given > day, "in_future").when(given < F.date_sub(day, days), "too_old").otherwise("passes")
+
+
 def capped(rows: DataFrame, school: list[str], office: list[str], order: str, cap: int, goal: int) -> DataFrame:
     """The first `cap` rows of each school, then the first `goal` of each office."""
     per = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*school).orderBy(order))).filter(F.col("__n") <= cap)

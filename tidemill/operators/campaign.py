@@ -80,11 +80,14 @@ def board_stop(pages: DataFrame, posts: DataFrame, start: Column, most: int = MO
     return both.select("board", "page", stop.alias("stop"))
 
 
-def run_stop(rows: DataFrame, order: str, batch: int, total: int, cap: int) -> DataFrame:
-    """Which new notices a batch takes: up to `batch` of them, and no more in all than `cap`; stopped says what ended it."""
-    n = F.row_number().over(Window.orderBy(order)) if "n" not in rows.columns else F.col("n")
-    stopped = F.when(F.col("n") > batch, "batch_notices").when(F.col("n") + total > cap, "cap_reached")
-    return rows.withColumn("n", n).withColumn("stopped", stopped)
+def batch_of(rows: DataFrame, order: list[str], batch: int, total: int, cap: int) -> DataFrame:
+    """The new notices that a batch takes: the first `batch` by the order, and no more than leave `total` and them within `cap`."""
+    return rows.orderBy(*order).limit(max(0, min(batch, cap - total)))
+
+
+def batch_stop(taken: Column, left: Column, batch: int, total: Column, cap: int) -> Column:
+    """Why a batch ended: cap_reached, batch_notices, or candidates_exhausted, and coverage_exhausted where no school is left."""
+    return F.when(total + taken >= cap, "cap_reached").when(taken >= batch, "batch_notices").when(left > 0, "candidates_exhausted").otherwise("coverage_exhausted")
 
 
 def cursor(checkpoints: DataFrame) -> DataFrame:
@@ -142,6 +145,26 @@ def last_run(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max("run_id").alias("run_id"), F.max_by(F.struct(*rest), "run_id").alias("e")).filter("run_id is not null").select("run_id", "e.*")
 
 
+def last_national(runs: DataFrame) -> DataFrame:
+    """The last finished run of all offices of each day; runs of one office or under way don't count."""
+    whole = runs.filter("only_office is null and status <> 'running'")
+    rest = [c for c in runs.columns if c != "day"]
+    return whole.groupBy("day").agg(F.max_by(F.struct(*rest), "run_id").alias("e")).select("day", "e.*")
+
+
+def attempted(runs: DataFrame) -> DataFrame:
+    """day and attempted: whether a run of all offices ended without an error and left a report."""
+    fine = F.col("only_office").isNull() & ~F.col("status").isin("running", "error") & F.col("report").isNotNull()
+    return runs.groupBy("day").agg(F.bool_or(fine).alias("attempted"))
+
+
+def run_report(regions: DataFrame, day: Column) -> DataFrame:
+    """One row: day, offices, new, shortfall, status and the offices that fell short."""
+    return regions.agg(
+        day.alias("day"), F.count("*").alias("offices"), F.sum("new").cast("bigint").alias("new"), F.sum("shortfall").cast("bigint").alias("shortfall"),
+        F.when(F.bool_or(F.col("status") == "partial"), "partial").otherwise("complete").alias("status"), F.array_sort(F.collect_list(F.when(F.col("shortfall") > 0, F.col("office")))).alias("short"))
+
+
 def registry(rows: DataFrame, offices: list[str]) -> tuple[DataFrame, DataFrame]:
     """(schools, problems) from the pages of a registry: rows (office, page, total, school_code, name, kind, home).
 

@@ -34,9 +34,20 @@ def damaged(objects: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, group: list[str], stratum: str, key: str, seed: str) -> DataFrame:
-    """turn: place of a row in a reproducible draw that takes one of each stratum in turn, each stratum in hash order."""
+    """turn: place of a row in a reproducible draw that takes one of each stratum in turn, each stratum in hash order.
+
+    A row's place in its stratum is its place among rows whose hash begins alike and the number of those before; its turn
+    follows from that and the sizes of the group's strata, so neither a group nor a stratum need stand in one task.
+    """
     mixed = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
-    own = F.row_number().over(Window.partitionBy(*group, stratum).orderBy(mixed, key))
     by = F.sha2(F.concat_ws(":", F.lit(seed), F.col(stratum)), 256)
-    placed = rows.withColumn("__own", own)
-    return placed.withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy("__own", by, stratum))).drop("__own")
+    cut = rows.withColumns({"__h": mixed, "__part": F.substring(mixed, 1, 2), "__g": F.struct(*group), "__s": F.struct(*group, stratum), "__by": F.struct(by, F.col(stratum))})
+    parts = cut.groupBy("__s", "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    sizes = cut.groupBy("__g", "__s").agg(F.count("*").alias("n"), F.first("__by").alias("by")).groupBy("__g").agg(F.collect_list(F.struct("n", "by")).alias("__strata"))
+    placed = cut.join(parts, ["__s", "__part"]).withColumn("__own", F.col("__before") + F.row_number().over(Window.partitionBy("__s", "__part").orderBy("__h", key)))
+    own = F.col("__own")
+    earlier = F.aggregate("__strata", F.lit(0).cast("bigint"), lambda n, s: n + F.least(s["n"], own - 1))
+    now = F.size(F.filter("__strata", lambda s: (s["n"] >= own) & (s["by"] <= F.col("__by"))))
+    return placed.join(sizes, "__g").withColumn("turn", earlier + now).select(*rows.columns, "turn")

@@ -18,6 +18,31 @@ def last_given(events: DataFrame, keys: list[str], order: list[str], columns: li
     return events.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns])
 
 
+def with_defaults(events: DataFrame, keys: list[str], order: list[str], defaults: dict) -> DataFrame:
+    """last_given of the columns in `defaults`, and the default where none was ever given."""
+    last = last_given(events, keys, order, list(defaults))
+    return last.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def looked_up(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Each wanted key with its row's columns and found: many look-ups as one join, keys without a row included."""
+    return wanted.select(*keys).distinct().join(rows.withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.col("found").isNotNull())
+
+
+def cached(results: DataFrame, parser: str, most: int = 30 << 20) -> DataFrame:
+    """The result to use of each sha256: one of the current parser before others, then the newest; results of over `most` bytes are none."""
+    rest = [c for c in results.columns if c != "sha256"]
+    best = results.filter(F.col("size") <= most).groupBy("sha256").agg(F.max_by(F.struct(*rest), F.struct((F.col("parser") == parser).alias("c"), "at")).alias("e"))
+    return best.select("sha256", "e.*")
+
+
+def overridden(base: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with the overrides' columns where they are given, those disabled left out. One override a key."""
+    given = overrides.select(key, "disabled", *[F.col(c).alias(f"__{c}") for c in columns])
+    both = base.join(given, key, "left").filter(~F.coalesce("disabled", F.lit(False)))
+    return both.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop("disabled", *[f"__{c}" for c in columns])
+
+
 def changed(new: DataFrame, stored: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """New rows whose fingerprint is not the stored one."""
     return new.join(stored.select(key, fingerprint).distinct(), [key, fingerprint], "left_anti")

@@ -67,6 +67,17 @@ def board_stop(spark, sf_dir):
     return campaign.board_stop(pages, posts, F.lit("1994-06-01").cast("date"), 4).select("board", F.col("page").cast("bigint").alias("page"), "stop")
 
 
+def campaign_batch(spark, sf_dir):
+    """Orders as new notices, the latest first."""
+    return campaign.batch_of(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 30, 9_980, 10_000).select("o_orderkey")
+
+
+def batch_stops(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select("c_custkey", campaign.batch_stop(k % 40, k % 3, 30, k * 7, 10_000).alias("stopped"))
+
+
 def campaign_cursor(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
     return campaign.cursor(t.select(F.col("conv_id").alias("school"), F.col("turn").alias("seq"), F.col("role").alias("board"), F.length("text").cast("bigint").alias("pages_done")))
@@ -209,6 +220,8 @@ p AS (SELECT b, n // 4 + 1 AS page, CASE WHEN b % 7 = 0 AND n // 4 = 1 THEN n -
 g AS (SELECT b, page, count(day) AS dated, count(*) FILTER (WHERE day >= DATE '1994-06-01') AS young, max(page) OVER (PARTITION BY b) AS last FROM p GROUP BY b, page)
 SELECT b AS board, page, CASE WHEN page = last AND NOT (b % 5 = 0 AND page = 3) THEN 'last_page' WHEN b % 5 = 0 AND page = 3 THEN 'page_repeats' WHEN page >= 4 THEN 'page_cap'
   WHEN b % 7 = 0 AND page = 2 THEN 'nothing_new' WHEN dated >= 3 AND young = 0 THEN 'older_than_window' END AS stop FROM g"""),
+    "campaign_batch": (campaign_batch, "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20"),
+    "batch_stops": (batch_stops, "SELECT c_custkey, CASE WHEN c_custkey * 7 + c_custkey % 40 >= 10000 THEN 'cap_reached' WHEN c_custkey % 40 >= 30 THEN 'batch_notices' WHEN c_custkey % 3 > 0 THEN 'candidates_exhausted' ELSE 'coverage_exhausted' END AS stopped FROM customer"),
     "campaign_cursor": (campaign_cursor, "SELECT conv_id AS school, max(turn) AS seq, arg_max(role, turn) AS board, CAST(arg_max(length(text), turn) AS BIGINT) AS pages_done FROM conversations GROUP BY 1"),
     "campaign_verdicts": (campaign_verdicts, f"WITH {JUDGED} SELECT campaign_id, event_id, status, verdict FROM j"),
     "campaign_states": (campaign_states, f"WITH {JUDGED} SELECT campaign_id, replace(arg_max(status, event_id), 'start', 'active') AS status FROM j WHERE verdict = 'accepted' GROUP BY 1"),

@@ -8,7 +8,7 @@ import urllib.robotparser
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemill.sources import compound, office
 from tidemill.sources import html as web
@@ -19,7 +19,7 @@ KINDS = {
     "tif": "image", "tiff": "image", "html": "html", "htm": "html",
 }
 FREE = ("txt", "xlsx", "xls")
-MOST_BYTES, MOST_NAME = 25 << 20, 220
+MOST_BYTES, MOST_NAME, MOST_READ = 25 << 20, 220, 64 << 20
 
 CELL = "struct<row:int,col:int,rowspan:int,colspan:int,text:string,header:boolean>"
 TABLE = f"struct<rows:int,cols:int,nested:boolean,cells:array<{CELL}>>"
@@ -62,6 +62,30 @@ def upload_error(filename: Column, size: Column, kind: Column) -> Column:
     )
 
 
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """filename, content, size, kind and error of every file below a folder; error as upload_error, packages opened to know their kind."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = found.select(F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), "content", F.col("length").alias("size"))
+    by_head = kind_of(F.col("content"), F.col("filename"))
+    return named.withColumn("kind", F.when(by_head == "zip", packed_kind("content")).otherwise(by_head)).withColumn("error", upload_error(F.col("filename"), F.col("size"), F.col("kind")))
+
+
+@F.pandas_udf(T.StringType())
+def packed_kind(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: None if c is None else package_kind(bytes(c)))
+
+
+def extract_new(files: DataFrame, stored: DataFrame, parser: str) -> DataFrame:
+    """Results by sha256 after a run: those stored by this parser that are no parse_error, and the other files read anew, each content once.
+
+    `files` has sha256, content and filename, `stored` sha256, parser and the columns of RESULT and kind.
+    """
+    good = stored.filter((F.col("parser") == parser) & (F.col("status") != "parse_error"))
+    new = files.dropDuplicates(["sha256"]).join(good.select("sha256"), "sha256", "left_anti").select("sha256", "content", "filename")
+    columns = ["sha256", "kind", "status", "error", "paragraphs", "tables"]
+    return good.select(*columns, "parser").unionByName(extract(new).select(*columns, F.lit(parser).alias("parser")))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """The rows of `files` (content, filename and more) with kind, status, error, paragraphs and tables.
 
@@ -72,6 +96,8 @@ def extract(files: DataFrame) -> DataFrame:
     names = [f.name for f in files.schema if f.name != "content"]
 
     def one(data, filename, kind):
+        if len(data) > MOST_READ:
+            return kind, {"status": "parse_error", "error": "file too large", "paragraphs": [], "tables": []}
         if kind == "zip":
             kind = package_kind(data)
         try:
