@@ -53,3 +53,35 @@ def test_nothing_to_learn_from(spark):
     assert language.predict(docs, language.learn(docs)).count() == 0
     docs = spark.createDataFrame([(1, "abc", None, "")], COLUMNS)
     assert language.predict(docs, language.learn(docs)).first().lang_pred == "und"
+
+
+def test_learning_equals_brute_force(spark):
+    """One step of expectation and maximisation over all segmentations of each word, written out."""
+    rows = [(1, "aba ab ba", "x", ""), (3, "ab abab", "x", ""), (4, "ba", "y", ""), (9, "bab ab", "y", "")]
+    rows = [r for r in rows if not __import__("zlib").crc32(str(r[0]).encode()) % 4 == 2]
+    model = language.learn(spark.createDataFrame(rows, COLUMNS))
+    vocabulary = language.pieces(model.path)
+    place = {p: i for i, p in enumerate(vocabulary)}
+    for k, lang in enumerate(model.languages):
+        words = {}
+        for _, text, own, _ in rows:
+            for w in language.words_of(text) if own == lang else ():
+                words[w] = words.get(w, 0) + 1
+        chance = np.full(len(vocabulary), 1 / len(vocabulary))
+        for _ in range(language.STEPS):
+            used = np.full(len(vocabulary), language.PRIOR)
+            for word, n in words.items():
+                ways = []
+                for cuts in itertools.product((0, 1), repeat=len(word) - 1):
+                    ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(word)]
+                    parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+                    if all(p in place or len(p) == 1 for p in parts):
+                        ways.append((parts, math.prod((chance[place[p]] if p in place else 0) + language.UNKNOWN * (len(p) == 1) for p in parts)))
+                total = sum(v for _, v in ways)
+                for parts, value in ways:
+                    for p in parts:
+                        if p in place:
+                            share = chance[place[p]] / (chance[place[p]] + language.UNKNOWN * (len(p) == 1))
+                            used[place[p]] += n * value / total * share
+            chance = used / used.sum()
+        assert np.allclose(model.chance[:-1, k], chance, rtol=1e-6)

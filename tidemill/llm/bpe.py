@@ -126,5 +126,6 @@ def decoded(ids: str | Column, path: str | None = None) -> Column:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode() and decoded() over all documents: number and digest of the ids, digest of the bytes they decode to."""
     found = encode(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "ids")
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(decoded("ids"), 256).alias("decoded_sha256"))

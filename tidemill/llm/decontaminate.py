@@ -338,5 +338,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_leaks() of the benchmark over all documents, and whether a row holds any item."""
     found = find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.withColumns({"contaminated": F.size("items") > 0})

@@ -159,8 +159,10 @@ def _expected(words: DataFrame, model: Model) -> np.ndarray:
     A language's words are weighed under its own probabilities alone, so work and memory don't grow with the languages.
     """
     place = {k: i for i, k in enumerate(model.languages)}
+    shared = words.sparkSession.sparkContext.broadcast(model)  # a number for each piece and language
 
     def run(batches):
+        model = shared.value
         lattice = Lattice(pieces(model.path))
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -208,8 +210,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     alone; repeated rows come out once each and other columns are ignored.
     """
     kept = docs.select("doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a number for each piece and language
 
     def run(batches):
+        model = shared.value
         lattice, known = Lattice(pieces(model.path)), {}
         table = np.zeros((0, len(model.languages)))
         for batch in batches:
@@ -242,5 +246,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """learn() and predict() over all documents; held-out rows are predicted, never learned from."""
     docs = documents(spark, sf_dir, "lang")
     return predict(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -163,6 +163,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() over all documents: phrases, notice labels and the largest containment of each row."""
     return scan(documents(spark, sf_dir))
 
 

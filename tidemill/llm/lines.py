@@ -62,6 +62,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_repeated_lines() over all documents: lines, lines removed, digest of the text left."""
     found = drop_repeated_lines(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -239,4 +239,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() over all documents: base counts, whether the base rules fail, the verdict and the distance."""
     return judge(documents(spark, sf_dir, "lang", "source"))

@@ -106,5 +106,6 @@ def groups(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """groups() over all documents: fingerprint and the smallest doc_id reachable over links of two bits or fewer."""
     found = groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -17,6 +17,7 @@ def cut_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cut_substrings() over all documents: words, words removed, digest of what is kept; rows as in cut_repeats."""
     found = cut_substrings(documents(spark, sf_dir))
     return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

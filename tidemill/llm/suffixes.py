@@ -17,5 +17,6 @@ def cut_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cut_bytes() over all documents: bytes, bytes and spans removed, digest of what is kept; rows as in cut_repeats."""
     found = cut_bytes(documents(spark, sf_dir))
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

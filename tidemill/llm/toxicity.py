@@ -213,4 +213,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() over all documents, learned from labels that are not held out."""
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
