@@ -69,7 +69,7 @@ def test_estimate_equals_brute_force(spark):
         wide = np.diag(np.square(quality.FLOOR))
         want[group] = min((np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) + wide)[1], s) for s in itertools.combinations(range(12), 9))
         want[group] = x[list(want[group][1])].mean(axis=0)
-    found = quality.estimates(spark.createDataFrame(rows, "group string, x array<double>"), 3).collect()
+    found = quality.estimates(spark.createDataFrame(rows, "group string, x array<double>"), spark.createDataFrame([(g, None) for g in "abc"], "group string, parent string"), 3).collect()
     assert len(found) == 3 and all(np.allclose(r["mean"], want[r["group"]]) for r in found)
 
 

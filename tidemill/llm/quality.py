@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemill.llm.common import byte_texts, discard, documents, written
 
@@ -17,8 +17,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 CORE, LEAN = 0.75, 200.0
 #: The CORE quantile of a chi-square variable with five degrees of freedom.
 CHI_CORE = 6.6257
-#: Concentration ends when no determinant falls by this share any more, or after so many steps.
-FALL, STEPS = 1e-3, 40
+#: Concentration ends when no determinant moves by this share any more, or after so many steps.
+FALL, STEPS = 1e-2, 40
 #: Up to so many groups, a row of some 400 bytes each, go to every task; more are joined by their keys.
 BROADCAST = 20_000
 #: A row is rejected beyond the upper fence of its group's distances (not squared), FENCE quartile ranges over the third
@@ -88,30 +88,29 @@ def _vector(df: DataFrame) -> Column:
 
 
 def _distance(x: Column, mean: Column, inverse: Column) -> Column:
-    """(x - mean)' inverse (x - mean), unrolled."""
+    """(x - mean)' inverse (x - mean), unrolled over half of the symmetric matrix."""
     d = len(STATS)
     centred = [F.get(x, i) - F.get(mean, i) for i in range(d)]
-    terms = [centred[i] * centred[j] * F.get(inverse, i * d + j) for i in range(d) for j in range(d)]
+    terms = [centred[i] * centred[j] * F.get(inverse, i * d + j) * (1 if i == j else 2) for i in range(d) for j in range(i, d)]
     return sum(terms[1:], terms[0])
 
 
-def _estimated(prior: bool):
-    """A function from sums over core rows (count, sums, sums of products), and a prior (mean, cov), to mean, cov, inverse and log determinant."""
-
-    @F.pandas_udf("mean array<double>, cov array<double>, inverse array<double>, logdet double")
-    def run(moments: pd.Series, means: pd.Series, covs: pd.Series) -> pd.DataFrame:
-        d, out = len(STATS), []
-        for m, mean0, cov0 in zip(moments, means, covs):
-            n, s, p = m[0], np.array(m[1 : d + 1]), np.array(m[d + 1 :]).reshape(d, d)
-            if prior:
-                mean0, cov0 = np.array(mean0), np.array(cov0).reshape(d, d)
-                n, s, p = n + LEAN, s + LEAN * mean0, p + LEAN * (cov0 + np.outer(mean0, mean0))
-            cov = p / n - np.outer(s / n, s / n)
-            wide = cov + np.diag(np.square(FLOOR))
-            out.append(((s / n).tolist(), cov.ravel().tolist(), np.linalg.inv(wide).ravel().tolist(), float(np.linalg.slogdet(wide)[1])))
-        return pd.DataFrame(out, columns=["mean", "cov", "inverse", "logdet"])
-
-    return run
+@F.pandas_udf(T.StructType([*[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("mean", "cov", "inverse")], T.StructField("logdet", T.DoubleType())]))
+def _estimated(moments: pd.Series, means: pd.Series, covs: pd.Series) -> pd.DataFrame:
+    """From sums over core rows (count, sums, sums of products), and a prior's mean and cov or null: mean, cov, inverse and log determinant."""
+    d, out = len(STATS), []
+    upper = np.triu_indices(d)
+    for m, mean0, cov0 in zip(moments, means, covs):
+        n, s, p = m[0], np.array(m[1 : d + 1]), np.zeros((d, d))
+        p[upper] = m[d + 1 :]
+        p = p + p.T - np.diag(np.diag(p))
+        if mean0 is not None:
+            mean0, cov0 = np.array(mean0), np.array(cov0).reshape(d, d)
+            n, s, p = n + LEAN, s + LEAN * mean0, p + LEAN * (cov0 + np.outer(mean0, mean0))
+        cov = p / n - np.outer(s / n, s / n)
+        wide = cov + np.diag(np.square(FLOOR))
+        out.append(((s / n).tolist(), cov.ravel().tolist(), np.linalg.inv(wide).ravel().tolist(), float(np.linalg.slogdet(wide)[1])))
+    return pd.DataFrame(out, columns=["mean", "cov", "inverse", "logdet"])
 
 
 def _sent(params: DataFrame, groups: int) -> DataFrame:
@@ -122,69 +121,78 @@ def _moments(rows: DataFrame, keys: list[str], priors: DataFrame | None, groups:
     """mean, cov, inverse and logdet by the keys: sums that combine before the shuffle, one small row for each group."""
     d = len(STATS)
     parts = [F.count("*").cast("double")] + [F.sum(F.get("x", i)) for i in range(d)]
-    parts += [F.sum(F.get("x", i) * F.get("x", j)) for i in range(d) for j in range(d)]
+    parts += [F.sum(F.get("x", i) * F.get("x", j)) for i in range(d) for j in range(i, d)]
     found = rows.groupBy(*keys).agg(F.array(*parts).alias("m"))
-    if priors is None:
-        found = found.withColumns({"mean0": F.array().cast("array<double>"), "cov0": F.array().cast("array<double>")})
-    else:
-        found = found.join(_sent(priors.select("group", "mean0", "cov0"), groups), "group")
-    return found.select(*keys, _estimated(priors is not None)("m", "mean0", "cov0").alias("e")).select(*keys, "e.*")
+    none = F.lit(None).cast("array<double>")
+    found = found.withColumns({"mean0": none, "cov0": none}) if priors is None else found.join(_sent(priors, groups), keys, "left")
+    return found.select(*keys, _estimated("m", "mean0", "cov0").alias("e")).select(*keys, "e.*")
 
 
 def _spread(rows: DataFrame, groups: int) -> DataFrame:
-    """group, mean, inverse from medians and median deviations."""
+    """group, mean, cov, inverse from medians and median deviations."""
     d = len(STATS)
     middle = rows.groupBy("group").agg(*[F.percentile_approx(F.get("x", i), 0.5, 1000).alias(f"m{i}") for i in range(d)])
     spread = rows.join(_sent(middle, groups), "group").groupBy("group").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(d)],
         *[(1.4826 * F.percentile_approx(F.abs(F.get("x", i) - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i in range(d)],
     )
-    weight = [F.lit(1.0) / (F.col(f"s{i}") * F.col(f"s{i}") + FLOOR[i] ** 2) for i in range(d)]
-    inverse = F.array(*[weight[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    return spread.select("group", F.array(*[F.col(f"m{i}") for i in range(d)]).alias("mean"), inverse.alias("inverse"))
-
-
-def estimates(rows: DataFrame, groups: int, priors: DataFrame | None = None) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group of rows (group, x): group, mean, cov, inverse, root, scale, fence.
-
-    Concentration starts from medians and median deviations, from a tenth of the rows by a hash of their statistics, and
-    from the prior (group, mean0, cov0, inverse0, root0, fence0) where there is one: distances under the estimate, the CORE share
-    of least distances, the estimate anew from these and the prior, until no determinant falls by FALL; the start with the
-    least determinant is taken. Every step is a sum over all rows, for all groups and starts at once. Distances are scaled
-    down where their CORE quantile is above that of a chi-square variable. The quantile and the fence lean on the prior too.
+    wide = [F.col(f"s{i}") * F.col(f"s{i}") for i in range(d)]
+    diagonal = lambda values: F.array(*[values[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
+    return spread.select("group", F.array(*[F.col(f"m{i}") for i in range(d)]).alias("mean"), diagonal(wide).alias("cov"), diagonal([1.0 / (w + FLOOR[i] ** 2) for i, w in enumerate(wide)]).alias("inverse"))
+
+
+def _leaned(spots: DataFrame, tree: DataFrame, groups: int) -> DataFrame:
+    """root (the CORE quantile) and fence of each group, leaning on those of its parent, level by level from the top."""
+    both = tree.join(_sent(spots, groups), "group")
+    level = both.filter("parent is null").select("group", "root", "fence")
+    out = level
+    for _ in range(2):  # languages, then their sources
+        given = level.select(F.col("group").alias("parent"), F.col("root").alias("root0"), F.col("fence").alias("fence0"))
+        lean = lambda own, top: ((F.col("n") * F.col(own) + LEAN * F.col(top)) / (F.col("n") + LEAN)).alias(own)
+        level = both.join(_sent(given, groups), "parent").select("group", lean("root", "root0"), lean("fence", "fence0"))
+        out = out.unionByName(level)
+    return out
+
+
+def estimates(rows: DataFrame, tree: DataFrame, groups: int) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each group of rows (group, x): group, mean, inverse, scale, cutoff.
+
+    `tree` (group, parent) says which group's estimate counts as LEAN rows in which other's; null: none, two levels below that
+    at most. Concentration starts from medians and median deviations, and from a tenth of the rows by a hash of their
+    statistics: distances under the estimate, the CORE share of least distances, the estimate anew from these and the
+    parent's estimate, until no determinant moves by FALL; the start with the least determinant is taken. Every step is a sum
+    over all rows, for all groups, levels and starts at once. Distances are scaled down where their CORE quantile is above
+    that of a chi-square variable; quantile and fence lean on the parent's too.
     """
     some = rows.filter(F.pmod(F.xxhash64("x"), F.lit(10)) == 0)
-    starts = [_spread(rows, groups).withColumns({"start": F.lit(0)}), _moments(some, ["group"], priors, groups).select("group", "mean", "inverse", F.lit(1).alias("start"))]
-    if priors is not None:
-        starts.append(priors.select("group", F.col("mean0").alias("mean"), F.col("inverse0").alias("inverse"), F.lit(2).alias("start")))
-    now = starts[0]
-    for other in starts[1:]:
-        now = now.unionByName(other)
-    now = written(now.withColumns({"logdet": F.lit(None).cast("double")}), "mcd")
+    columns = ("group", "start", "mean", "cov", "inverse", "logdet")
+    first = _spread(rows, groups).withColumns({"start": F.lit(0)})
+    second = _moments(some, ["group"], None, groups).withColumns({"start": F.lit(1)})
+    now = written(first.withColumns({"logdet": F.lit(None).cast("double")}).select(*columns).unionByName(second.withColumns({"logdet": F.lit(None).cast("double")}).select(*columns)), "mcd")
     for _ in range(STEPS):
         given = _sent(now.select("group", "start", "mean", "inverse"), groups)
         far = rows.join(given, "group").select("group", "start", "x", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
         edge = far.groupBy("group", "start").agg(F.percentile_approx("far", CORE, 10_000).alias("edge"))
         core = far.join(_sent(edge, groups), ["group", "start"]).filter("far <= edge")
-        new = written(_moments(core, ["group", "start"], priors, groups), "mcd")
+        above = now.select(F.col("group").alias("parent"), "start", F.col("mean").alias("mean0"), F.col("cov").alias("cov0"))
+        priors = tree.join(_sent(above, groups), "parent").select("group", "start", "mean0", "cov0")
+        new = written(_moments(core, ["group", "start"], priors, groups).select(*columns), "mcd")
         before = now.select("group", "start", F.col("logdet").alias("before"))
-        falls = new.join(before, ["group", "start"]).agg(F.max(F.coalesce(F.col("before") - F.col("logdet"), F.lit(1.0)))).first()[0]
+        moves = new.join(before, ["group", "start"]).agg(F.max(F.coalesce(F.abs(F.col("before") - F.col("logdet")), F.lit(1.0)))).first()[0]
         discard(now)
         now = new
-        if falls is None or falls < FALL:
+        if moves is None or moves < FALL:
             break
-    best = now.groupBy("group").agg(F.min_by(F.struct("mean", "cov", "inverse"), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
-    far = rows.join(_sent(best, groups), "group").select("group", _distance(F.col("x"), F.col("mean"), F.col("inverse")).alias("far"))
-    spots = far.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("far", CORE, 10_000).alias("edge"), F.percentile_approx("far", [0.25, 0.75], 10_000).alias("q"))
-    spots = spots.select("group", "n", F.sqrt("edge").alias("root"), F.sqrt(F.get("q", 0)).alias("low"), F.sqrt(F.get("q", 1)).alias("high"))
-    lean = lambda own, given: F.col(own) if priors is None else (F.col("n") * F.col(own) + LEAN * F.col(given)) / (F.col("n") + LEAN)
-    if priors is not None:
-        spots = spots.join(_sent(priors.select("group", "root0", "fence0"), groups), "group")
-    spots = spots.withColumns({"root": lean("root", "root0")})
-    spots = spots.withColumns({"scale": F.lit(CHI_CORE) / F.greatest(F.col("root") * F.col("root"), F.lit(CHI_CORE))})
-    spots = spots.withColumns({"fence": F.sqrt("scale") * (F.col("high") + FENCE * (F.col("high") - F.col("low")))})
-    fence = spots.select("group", "root", "scale", lean("fence", "fence0").alias("fence"))
-    return written(best.join(fence, "group"), "mcd")
+    best = written(now.groupBy("group").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("e")).select("group", "e.*"), "mcd")
+    far = rows.join(_sent(best, groups), "group").select("group", F.sqrt(F.greatest(_distance(F.col("x"), F.col("mean"), F.col("inverse")), F.lit(0.0))).alias("far"))
+    spots = far.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("far", [CORE, 0.25, 0.75], 10_000).alias("q"))
+    high, wide = F.get("q", 2), F.get("q", 2) - F.get("q", 1)
+    spots = written(spots.select("group", "n", F.get("q", 0).alias("root"), (high + FENCE * wide).alias("fence")), "mcd")
+    scale = F.lit(CHI_CORE) / F.greatest(F.col("root") * F.col("root"), F.lit(CHI_CORE))
+    cutoff = F.greatest(F.col("fence") * F.col("fence") * F.col("scale"), F.lit(LEAST_CUTOFF))
+    leaned = _leaned(spots, tree, groups)
+    found = best.join(_sent(leaned, groups), "group").withColumns({"scale": scale}).withColumns({"cutoff": cutoff})
+    return written(found.select("group", "mean", "inverse", "scale", "cutoff"), "mcd")
 
 
 def _placed(base: DataFrame) -> DataFrame:
@@ -198,15 +206,13 @@ def _parameters(placed: DataFrame) -> DataFrame:
     """__own, mean, inverse, scale, cutoff: the estimate that the rows of each lang and source are judged by."""
     fit = written(placed.filter("not base_failed").select("__lang", "__own", F.col("__x").alias("x")), "vectors")
     names = written(fit.select("__lang", "__own").distinct(), "groups")
-    groups = names.count()
-    prior = lambda e, parent: e.select(F.col("group").alias(parent), *[F.col(c).alias(f"{c}0") for c in ("mean", "cov", "inverse", "root", "fence")])
-    pool = estimates(fit.select(F.lit("").alias("group"), "x"), 1)
-    langs = names.select(F.lit("").alias("__all"), F.col("__lang").alias("group")).distinct()
-    by_lang = estimates(fit.select(F.col("__lang").alias("group"), "x"), groups, langs.join(_sent(prior(pool, "__all"), 1), "__all"))
-    own = names.select("__lang", F.col("__own").alias("group"))
-    found = estimates(fit.select(F.col("__own").alias("group"), "x"), groups, own.join(_sent(prior(by_lang, "__lang"), groups), "__lang"))
-    cutoff = F.greatest(F.col("fence") * F.col("fence"), F.lit(LEAST_CUTOFF))
-    return _sent(found.select(F.col("group").alias("__own"), "mean", "inverse", "scale", cutoff.alias("cutoff")), groups)
+    groups = 2 * names.count() + 1
+    top = "\x1d"  # the group of all rows
+    tree = names.select(F.col("__own").alias("group"), F.concat(F.lit(top), "__lang").alias("parent")).unionByName(names.select(F.concat(F.lit(top), "__lang").alias("group"), F.lit(top).alias("parent")))
+    tree = tree.unionByName(names.select(F.lit(top).alias("group"), F.lit(None).cast("string").alias("parent"))).distinct()
+    each = F.explode(F.array(F.col("__own"), F.concat(F.lit(top), "__lang"), F.lit(top))).alias("group")
+    found = estimates(fit.select(each, "x"), tree, groups)
+    return _sent(found.select(F.col("group").alias("__own"), "mean", "inverse", "scale", "cutoff"), groups)
 
 
 def _judged(placed: DataFrame, params: DataFrame) -> DataFrame:
