@@ -22,7 +22,6 @@ SPANS = 200
 def span(value: Column) -> Column:
     """A merge count from 1 to 200; blank is 1, anything else null."""
     number = F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.lit(1)).otherwise(F.trim(value).try_cast("int"))
-    number = F.when(number == 0, 1).otherwise(number)
     return F.when(number.between(1, SPANS), number)
 
 

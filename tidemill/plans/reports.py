@@ -144,7 +144,7 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 2 DESC,
     "recent_notices": (recent_notices, "SELECT conv_id, max(turn) AS updated FROM conversations GROUP BY conv_id ORDER BY updated DESC, conv_id LIMIT 60"),
     "pending_notices": (pending_notices, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
     "campaign_windows": (campaign_windows, "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT CAST(d AS VARCHAR) AS \"end\", y AS years, sha256('backfill:' || d)[1:16] AS seed, CAST(CAST(d - CASE y WHEN 1 THEN 365 ELSE 1095 END AS DATE) AS VARCHAR) AS start FROM d, (VALUES (1), (3)) v(y)"),
-    "merge_counts": (merge_counts, "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 1 WHEN 1 THEN NULL WHEN 2 THEN 1 ELSE CASE WHEN p_partkey BETWEEN 1 AND 200 THEN p_partkey END END AS span FROM part"),
+    "merge_counts": (merge_counts, "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 1 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE CASE WHEN p_partkey BETWEEN 1 AND 200 THEN p_partkey END END AS span FROM part"),
     "page_flow": (page_flow, """SELECT page_id AS file_id, unnest([0, 1, 2, 3, 4]::BIGINT[]) AS place, unnest(['paragraph', 'paragraph', 'table', 'paragraph', 'paragraph']) AS type,
   unnest(['글 ' || page_id, '왼쪽', '가 나 ' || page_id || ' 2', '끝', '파일 (/x)']) AS text, unnest([NULL, NULL, 4, NULL, NULL]::BIGINT[]) AS cells FROM pages"""),
     "table_pages": (table_pages, f"""WITH {TABLES}, w AS (SELECT table_id, row, max(text) FILTER (WHERE col = 0) AS a, max(text) FILTER (WHERE col = 1) AS b, max(rowspan) AS s FROM cells GROUP BY table_id, row),

@@ -14,8 +14,8 @@ MOST_TABLES, MOST_ROWS, MOST_COLS, MOST_CELLS, MOST_SPAN = 100, 1000, 200, 10_00
 
 
 def span(value: str | None) -> int:
-    """A merge count: blank or 0 is 1, else 1 to MOST_SPAN; ValueError beyond."""
-    number = int(value or 1) or 1
+    """A merge count: none is 1, else 1 to MOST_SPAN; ValueError beyond."""
+    number = int(value or 1)
     if not 1 <= number <= MOST_SPAN:
         raise ValueError("merge count out of range")
     return number
