@@ -29,6 +29,14 @@ def test_boards_posts_and_pages():
     assert view == [("https://s.example/boardCnts/view.do?boardID=123&boardSeq=4567&lev=0&m=1", "글", None)]
 
 
+def test_next_page_reads_whole_numbers():
+    call = lambda n: f"<a href='#' onclick='goPage({n})'>x</a>"
+    at = lambda n: f"https://s.example/list.do?page={n}"
+    assert crawl.next_page(call(9999), at(9998)) == at(9999) and crawl.next_page(call(10000), at(9999)) == at(10000)
+    assert crawl.next_page(call(123457), at(123456)) == at(123457) and crawl.next_page(call(10001), at(999)) is None
+    assert crawl.next_page(call("1" * 5000), at(1)) is None and crawl.next_page("<a href='?page=2'>x</a>", at("%C2%B2")) == at(2)
+
+
 def test_detail_and_guards():
     assert crawl.detail("<input type=PASSWORD>", BASE)["error"] == crawl.detail("<p>로그인이 필요합니다</p>", BASE)["error"] == "denied"
     assert crawl.detail("<div class=view_con>짧다</div>", BASE)["error"] == "unknown"

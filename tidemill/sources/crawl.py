@@ -36,7 +36,7 @@ OPENED = re.compile(r"""(?:location(?:\.href)?\s*=|window\.open\()\s*['"]([^'"]+
 POST_CALL = re.compile(r"""(?:nttInfo|goView|fnView|viewNtt|fnDetail|goDetail|viewArticle|[A-Za-z_]*[Vv]iew[A-Za-z_]*)\s*\(\s*['"]?(\d{2,})""")
 VIEW_CALL = re.compile(r"goView\s*\(([^)]{0,200})\)")
 PAGE_CALL = re.compile(
-    r"""(?:fn_egov_link_page|goPage|linkPage|fnLinkPage|pageClick|fn_paging|movePage|fnPage|listPage|goList|fn_selectList|fnSearch|pageMove|go_page|fn_page)\s*\(\s*['"]?(\d{1,4})""", re.I)
+    r"""(?:fn_egov_link_page|goPage|linkPage|fnLinkPage|pageClick|fn_paging|movePage|fnPage|listPage|goList|fn_selectList|fnSearch|pageMove|go_page|fn_page)\s*\(\s*['"]?(\d+)""", re.I)
 DAY = re.compile(r"\b(20\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})\b")
 SHELL_BYTES, MOST_BOARDS, MOST_POSTS, MOST_MAPS, MOST_FRAMES, MOST_FILES, LEAST_BODY = 6000, 6, 50, 2, 2, 12, 10
 
@@ -138,20 +138,28 @@ def post_links(html: str, base: str, selector: str = "") -> list[tuple[str, str,
     return list(out.values())[:MOST_POSTS]
 
 
+def _number(text: str | None) -> int | None:
+    """The page number a text is, of any length that int reads; null if it is none."""
+    try:
+        return int(text) if text and text.isdigit() else None
+    except ValueError:
+        return None
+
+
 def next_page(html: str, base: str) -> str | None:
     """The list page after this one, by a link to its number or a script that opens it; null without one."""
     own = urlsplit(base)
     query = dict(parse_qsl(own.query))
-    wanted = 1 + next((int(query[k]) for k in PAGE_NAMES if query.get(k, "").isdigit()), 1)
+    wanted = 1 + next((n for k in PAGE_NAMES if (n := _number(query.get(k))) is not None), 1)
     links = tree.parse(html).select("a")
     for a in links:
         url = resolved(a, base)
         held = dict(parse_qsl(urlsplit(url).query)) if url else {}
-        if any(held.get(k, "").isdigit() and int(held[k]) == wanted for k in PAGE_NAMES):
+        if any(_number(held.get(k)) == wanted for k in PAGE_NAMES):
             return url
     name = next((k for k in PAGE_NAMES if k in query), "pageIndex" if re.search("selectNttList|selectBBS|bbsList", own.path) else "page")
     calls = (PAGE_CALL.search(f"{a.attrs.get('onclick', '')} {a.attrs.get('href', '')}") for a in links)
-    return _with_query(own, own.path, **{name: str(wanted)}) if any(c and int(c[1]) == wanted for c in calls) else None
+    return _with_query(own, own.path, **{name: str(wanted)}) if any(c and _number(c[1]) == wanted for c in calls) else None
 
 
 def detail(html: str, base: str, fallback: str = "", selector: str = "") -> dict:
