@@ -103,3 +103,31 @@ def test_large_buckets_lose_no_link(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0, 0) for i, t in enumerate(texts)], COLUMNS)
     found = {r.doc_id: r.first_id for r in neardup.near_groups(docs).collect()}
     assert [found[i] for i in range(len(texts))] == brute_groups(list(enumerate(texts)))
+
+
+def test_simhash_links_settle_groups_without_buckets(spark, monkeypatch):
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randrange(50000)}"
+    texts = ["", "a b", "c d"]
+    for _ in range(25):
+        base = [word() for _ in range(800)]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice((0, 1, 2, 20))):
+            at = rng.randrange(len(base))
+            base = base[:at] + [word()] + base[at + 1 :] if rng.randrange(2) else base + [word()]
+            texts.append(" ".join(base))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0) for i, t in enumerate(texts)], COLUMNS)
+    fps = {r.doc_id: r.fp & (1 << 64) - 1 for r in neardup._sketches(docs).select("doc_id", "fp").collect()}
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = shingles(texts[i]), shingles(texts[j])
+            if a and b and (fps[i] ^ fps[j]).bit_count() <= 2 and len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((want[i], want[j]))
+                want = [x if w == y else w for w in want]
+    assert len(set(want)) < len(texts) - 40
+    bare = neardup._sketches
+    marked = F.when(F.size("keys") > 0, F.array(F.hash("doc_id").cast("bigint"))).otherwise(F.col("keys"))
+    monkeypatch.setattr(neardup, "_sketches", lambda d: bare(d).withColumns({"keys": marked}))
+    found = {r.doc_id: r.first_id for r in neardup.near_groups(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want

@@ -1,4 +1,4 @@
-"""Near-duplicate documents by word-shingle similarity, filtered by SimHash pivot distances (the pipeline's stage)."""
+"""Near-duplicate documents by word-shingle similarity: SimHash links through the pivot table, then MinHash (the pipeline's stage)."""
 
 from __future__ import annotations
 
@@ -7,16 +7,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemill.llm.common import byte_texts, joined_words, mixed, same, splitmix, text_hash, written
+from tidemill.llm import simhash
+from tidemill.llm.common import byte_texts, joined_words, mixed, release, same, splitmix, text_hash, written
 from tidemill.llm.graph import components
-from tidemill.llm.simhash import PIVOTS
 
 #: Words of a shingle and least Jaccard similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows of the keys that bring a pair together: at similarity 0.8 all but 7 in 100,000 pairs share one.
 BANDS, ROWS = 24, 5
-#: Most bits in which fingerprints of a link differ: over five standard deviations beyond what 0.8 gives.
-BITS = 24
 #: A bucket of so many groups is compared pair by pair, a larger one with LEADERS of its members at a time.
 BUCKET, LEADERS = 8, 2
 #: Members on each side of a block of pairs that is verified at once.
@@ -85,20 +83,33 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "tid binary, hashes array<bigint>")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs whose pivot distances differ by up to BITS in every coordinate, and so do their fingerprints."""
-    pivots = F.array(*[F.lit(p) for p in splitmix(PIVOTS, 7).view(np.int64).tolist()])
-    table = lambda c: F.transform(pivots, lambda p: F.bit_count(F.col(c).bitwiseXOR(p)))
-    close = ~F.exists(F.zip_with(table("x"), table("y"), lambda p, q: F.abs(p - q)), lambda d: d > BITS)
-    return pairs.filter(close).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)
+def _simhash_pairs(texts: DataFrame) -> DataFrame:
+    """a < b: texts that operator 3 links, which is by candidates, pivot table and Hamming distance of up to two bits.
+
+    Of texts with one fingerprint each meets the least, and the least ones meet across fingerprints. Texts without words are left out.
+    """
+    worded = texts.filter(F.size("keys") > 0).select("tid", "fp")
+    least = worded.groupBy("fp").agg(F.min("tid").alias("least"), F.count("*").alias("n"))
+    same_fp = worded.join(least.filter("n > 1"), "fp").filter("tid <> least").select(F.col("least").alias("a"), F.col("tid").alias("b"))
+    found = simhash.links(worded)
+    one, two = (least.select(F.col("fp").alias(side), F.col("least").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    across = found.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same_fp.unionByName(across)
+
+
+def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The pairs a, b whose shingles have the similarity."""
+    left, right = hashes.select(F.col("tid").alias("a"), F.col("hashes").alias("p")), hashes.select(F.col("tid").alias("b"), F.col("hashes").alias("q"))
+    met = F.size(F.array_intersect("p", "q"))
+    return pairs.join(left, "a").join(right, "b").filter(met >= SIMILARITY * (F.size("p") + F.size("q") - met)).select("a", "b")
 
 
-def _rest(members: DataFrame, roots: DataFrame | None, hashes: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, hashes: DataFrame) -> DataFrame:
     """a, b: the links between texts of different groups that share a bucket of more than BUCKET texts, all verified.
 
     In each bucket all members outside its largest group are held against all members, by blocks of CELL times CELL.
     """
-    now = members.withColumns({"root": F.col("tid")}) if roots is None else members.join(roots, members.tid == roots.node, "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
+    now = members.join(roots, members.tid == roots.node, "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
     groups = now.groupBy("key", "root").count().groupBy("key")
     total = F.sum("count")
     open_ = groups.agg(total.alias("n"), (total - F.max("count")).alias("rest"), F.max_by("root", F.struct("count", "root")).alias("main")).filter((F.col("n") > BUCKET) & (F.col("rest") > 0))
@@ -138,8 +149,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, mark, first_id, first_mark of every row: the first row, by doc_id then hash of text, of its group.
 
     Rows are grouped over links of texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more;
-    texts of the same words are one. Pairs come from buckets of equal MinHash keys, go through the SimHash pivot table and
-    Hamming distance, and are verified by their shingles. A bucket of more than BUCKET groups compares its members with
+    texts of the same words are one. Pairs come from operator 3's links of the texts' SimHash fingerprints and from buckets of
+    equal MinHash keys, and all are verified by their shingles. No pair is tried twice. A bucket of more than BUCKET texts compares its members with
     LEADERS of them picked by a hash, and as groups merge, the groups left in it again, until a round adds no link, so a
     group of n near copies costs some n pairs. Then all pairs of such a bucket that are still in different groups are
     verified, so no link of two texts that share a bucket is missed; many texts just under SIMILARITY cost all their pairs. Texts without words are one group; null doc_ids come last.
@@ -147,42 +158,40 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = written(_sketches(docs), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
     texts = written(rows.groupBy("tid").agg(F.min(first).alias("at"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
-    members = texts.select("tid", "fp", F.explode("keys").alias("key"))
+    tried = written(_simhash_pairs(texts), "pairs")
+    members = texts.select("tid", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").count().filter("count > 1").select("key")
     members = written(members.join(sizes, "key"), "members")
-    wanted = texts.join(members.select("tid").distinct(), "tid").select("tid", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
+    ends = tried.select(F.explode(F.array("a", "b")).alias("tid"))
+    wanted = texts.join(members.select("tid").unionByName(ends).distinct(), "tid").select("tid", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
     hashes = written(_shingles(docs, wanted).dropDuplicates(["tid"]), "shingles")
 
-    links = roots = tried = None
+    links, roots = written(_verified(tried, hashes), "links"), None
     while True:
-        now = members if roots is None else members.join(roots, members.tid == roots.node, "left").select("key", "tid", "fp", F.coalesce("root", "tid").alias("root"))
+        now = members if roots is None else members.join(roots, members.tid == roots.node, "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
         # One member of each group left in a bucket, the one with the least hash for that bucket.
         if roots is not None:
-            now = now.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("tid", "key").alias("h"), "tid", "fp")).alias("m")).select("key", "m.tid", "m.fp")
-        counts = now.groupBy("key").agg(F.count("*").alias("n"), *[F.min_by(F.struct("tid", "fp"), F.xxhash64("tid", "key", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]).filter("n > 1")
+            now = now.groupBy("key", "root").agg(F.min_by("tid", F.struct(F.xxhash64("tid", "key"), "tid")).alias("tid")).select("key", "tid")
+        counts = now.groupBy("key").agg(F.count("*").alias("n"), *[F.min_by("tid", F.xxhash64("tid", "key", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]).filter("n > 1")
         small = counts.filter(F.col("n") <= BUCKET).select("key")
         one = now.join(small, "key")
-        pairs = one.select("key", F.col("tid").alias("a"), F.col("fp").alias("x")).join(one.select("key", F.col("tid").alias("b"), F.col("fp").alias("y")), "key")
+        pairs = one.select("key", F.col("tid").alias("a")).join(one.select("key", F.col("tid").alias("b")), "key")
         large = counts.filter(F.col("n") > BUCKET).select("key", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("l"))
-        led = now.join(large, "key").select(F.col("tid").alias("a"), F.col("fp").alias("x"), F.explode("l").alias("l")).select("a", "x", F.col("l.tid").alias("b"), F.col("l.fp").alias("y"))
-        both = pairs.filter("a < b").select("a", "b", "x", "y").unionByName(led.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y"))
-        both = _near(both).select("a", "b").distinct()
-        if tried is not None:
-            both = both.join(tried, ["a", "b"], "left_anti")
-        both = written(both, "pairs")
-        tried = both if tried is None else tried.unionByName(both)
-        left, right = hashes.select(F.col("tid").alias("a"), F.col("hashes").alias("p")), hashes.select(F.col("tid").alias("b"), F.col("hashes").alias("q"))
-        met = F.size(F.array_intersect("p", "q"))
-        new = written(both.join(left, "a").join(right, "b").filter(met >= SIMILARITY * (F.size("p") + F.size("q") - met)).select("a", "b"), "links")
-        if new.isEmpty():
+        led = now.join(large, "key").select(F.col("tid").alias("a"), F.explode("l").alias("b"))
+        both = pairs.filter("a < b").select("a", "b").unionByName(led.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        both = written(both.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(both)
+        new = written(_verified(both, hashes), "links")
+        if roots is not None and new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         roots = written(components(links), "roots")
+    release(docs.sparkSession)
     new = written(_rest(members, roots, hashes), "links")
     if not new.isEmpty():
-        roots = written(components(new if links is None else links.unionByName(new)), "roots")
-    joined = texts.select("tid", "at") if roots is None else texts.join(roots, texts.tid == roots.node, "left").select("tid", "at", "root")
-    grouped = joined.withColumns({"root": F.col("tid") if roots is None else F.coalesce("root", "tid")})
+        roots = written(components(links.unionByName(new)), "roots")
+    joined = texts.join(roots, texts.tid == roots.node, "left").select("tid", "at", "root")
+    grouped = joined.withColumns({"root": F.coalesce("root", "tid")})
     firsts = grouped.groupBy("root").agg(F.min("at").alias("first"))
     named = grouped.join(firsts, "root").select(F.col("tid").alias("key"), "first")
     return rows.join(named, rows.tid == named.key).select("doc_id", "mark", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
