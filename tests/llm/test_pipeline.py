@@ -131,3 +131,21 @@ def test_simhash_links_settle_groups_without_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_sketches", lambda d: bare(d).withColumns({"keys": marked}))
     found = {r.doc_id: r.first_id for r in neardup.near_groups(docs).collect()}
     assert [found[i] for i in range(len(texts))] == want
+
+
+def test_near_groups_bounds_what_the_driver_holds(spark, monkeypatch):
+    """Memory goes back after each round, and no plan of the SimHash pairs holds all of operator 3's exchanges."""
+    rng = random.Random(16)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(6)]
+    texts = [" ".join(b[:at] + [f"v{rng.randrange(5000)}"] + b[at + 1 :]) for b in bases for at in range(0, 40, 4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0) for i, t in enumerate(texts)], COLUMNS)
+    steps, real, free = [], neardup.written, neardup.release
+    monkeypatch.setattr(neardup, "written", lambda df, name: (steps.append(name), real(df, name))[1])
+    monkeypatch.setattr(neardup, "release", lambda s: (steps.append("release"), free(s))[1])
+    found = {r.doc_id: r.first_id for r in neardup.near_groups(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_groups(list(enumerate(texts)))
+    rounds = steps.count("pairs") - 1
+    assert rounds >= 2
+    assert steps.count("release") >= rounds + 2
+    pairs = neardup._simhash_pairs(real(neardup._sketches(docs).select("tid", "fp", "keys"), "texts"))
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 8

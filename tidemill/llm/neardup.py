@@ -89,9 +89,10 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
     Of texts with one fingerprint each meets the least, and the least ones meet across fingerprints. Texts without words are left out.
     """
     worded = texts.filter(F.size("keys") > 0).select("tid", "fp")
-    least = worded.groupBy("fp").agg(F.min("tid").alias("least"), F.count("*").alias("n"))
+    least = written(worded.groupBy("fp").agg(F.min("tid").alias("least"), F.count("*").alias("n")), "least")
     same_fp = worded.join(least.filter("n > 1"), "fp").filter("tid <> least").select(F.col("least").alias("a"), F.col("tid").alias("b"))
-    found = simhash.links(worded)
+    found = written(simhash.links(least), "links")
+    release(texts.sparkSession)
     one, two = (least.select(F.col("fp").alias(side), F.col("least").alias(name)) for side, name in (("a", "x"), ("b", "y")))
     across = found.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return same_fp.unionByName(across)
@@ -155,6 +156,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     group of n near copies costs some n pairs. Then all pairs of such a bucket that are still in different groups are
     verified, so no link of two texts that share a bucket is missed; many texts just under SIMILARITY cost all their pairs. Texts without words are one group; null doc_ids come last.
     """
+    spark = docs.sparkSession
     rows = written(_sketches(docs), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
     texts = written(rows.groupBy("tid").agg(F.min(first).alias("at"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
@@ -165,7 +167,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     ends = tried.select(F.explode(F.array("a", "b")).alias("tid"))
     wanted = texts.join(members.select("tid").unionByName(ends).distinct(), "tid").select("tid", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
     hashes = written(_shingles(docs, wanted).dropDuplicates(["tid"]), "shingles")
-
+    release(spark)
     links, roots = written(_verified(tried, hashes), "links"), None
     while True:
         now = members if roots is None else members.join(roots, members.tid == roots.node, "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
@@ -182,11 +184,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
         both = written(both.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(both)
         new = written(_verified(both, hashes), "links")
+        release(spark)
         if roots is not None and new.isEmpty():
             break
         links = links.unionByName(new)
         roots = written(components(links), "roots")
-    release(docs.sparkSession)
+        release(spark)
     new = written(_rest(members, roots, hashes), "links")
     if not new.isEmpty():
         roots = written(components(links.unionByName(new)), "roots")
